@@ -4,11 +4,12 @@ The plan, none of whose steps gathers a group:
 
 1. One scan turns each text into its set of word shingles, a digest of the set, and band keys of the
    set's sketch. Equal sets form a class; from here on only its least document stands for it.
-2. Documents of a band bucket are compared with the bucket's least document (a star, not all pairs) on
-   full sets, and the links' components found.
+2. Documents of a band bucket are compared with at most three leaders (stars, not all pairs) on full
+   sets, and the links' components found.
 3. Buckets that still hold several components are settled exactly: their members meet in blocks of
    bounded size, all pairs of a block are counted by one matrix product, and the block gives back
-   only a forest of its links. A large bucket is dealt out as pairs of blocks.
+   only a forest of its links. A large bucket is dealt out as blocks of its largest component, each
+   with all other members, or if these are many, as pairs of blocks.
 
 A link is lost only if its two sets share no band: with 50 bands of 6 coordinates, once in four million
 pairs at a similarity of exactly 0.8, and ever less above.
@@ -149,33 +150,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     narrow = made.select("doc_id", "n_shingles", "d1", "d2")
     classes = cut(narrow.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
 
-    # 1: the members of band buckets, one for each class
+    # 1: the members of band buckets, one for each class; a bucket's leaders are its least in each of three orders
     least = classes.where("rep is not null").withColumnRenamed("rep", "doc_id")
     member = made.join(least, ["doc_id", "d1", "d2"], "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-    buckets = cut(member.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("doc", "n")).alias("leader")).where("members > 1"), "buckets")
-    member = cut(member.join(buckets, "key").select("key", "doc", "n", "members", F.col("leader.doc").alias("leader"), F.col("leader.n").alias("leader_n")), "members")
+    orders = [F.min(F.struct(x.alias("by"), F.col("doc"), F.col("n"))) for x in (F.col("doc"), F.xxhash64("doc"), F.xxhash64("doc", F.lit(1)))]
+    buckets = cut(member.groupBy("key").agg(F.count("*").alias("members"), F.array(*orders).alias("leaders")).where("members > 1"), "buckets")
+    member = cut(member.join(buckets, "key").select("key", "doc", "n", "members", "leaders"), "members")
     compared = broadcast_if_small(cut(member.select("doc").distinct(), "compared"), BROADCAST_IDS)
     sets = cut(texts.join(compared, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_shingle_sets(shingle_words), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
 
-    # 2: each member against the least of its bucket
-    like = (F.col("doc") != F.col("leader")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
-    pairs = member.where(like).select("leader", "doc").distinct()
-    pairs = pairs.join(sets.select(F.col("doc").alias("leader"), F.col("shingles").alias("theirs")), "leader").join(sets, "doc")
+    # 2: each member against the leaders of its bucket
+    pairs = member.select("doc", "n", F.explode("leaders").alias("leader"))
+    pairs = pairs.where((F.col("doc") != F.col("leader.doc")) & (100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")))
+    pairs = pairs.select(F.least("doc", "leader.doc").alias("a"), F.greatest("doc", "leader.doc").alias("b")).distinct()
+    pairs = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("theirs")), "a").join(sets.withColumnRenamed("doc", "b"), "b")
     common = F.size(F.array_intersect("shingles", "theirs"))
-    pairs = pairs.select(F.col("leader").alias("a"), F.col("doc").alias("b"), common.alias("common"), (F.size("shingles") + F.size("theirs")).alias("sum"))
+    pairs = pairs.select("a", "b", common.alias("common"), (F.size("shingles") + F.size("theirs")).alias("sum"))
     links = cut(pairs.where(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b"), "links")
     found = connected_components(links)
 
     # 3: what is left of buckets with several components
     open_ = member.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "members", F.coalesce("component", "doc").alias("component")).where("members > 2")
     open_ = cut(open_, "open")
-    todo = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("weight"), F.sum(F.xxhash64("doc") % F.lit(1 << 40)).alias("who")).where("low < high")
-    todo = todo.groupBy("who", "members", "weight").agg(F.min("key").alias("key"))  # equal member lists need it once
-    todo = cut(todo.select("key", F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "todo")
+    parts = open_.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.sum(F.xxhash64("doc") % F.lit(1 << 40)).alias("who"))
+    todo = parts.groupBy("key").agg(F.count("*").alias("components"), F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.sum("who").alias("who"), F.max(F.struct("members", "weight", "component")).alias("main")).where("components > 1")
+    todo = todo.groupBy("who", "members", "weight").agg(F.min(F.struct("key", "main")).alias("x"))  # equal member lists need it once
+    rest, rest_weight = F.col("members") - F.col("x.main.members"), F.col("weight") - F.col("x.main.weight")
+    # the largest component needs no pairs of its own: if the others are few, they meet each block of it
+    few = (2 * rest <= BLOCK_SETS) & (2 * rest_weight <= BLOCK_SHINGLES)
+    blocks = F.when(few, F.greatest(F.ceil(2 * F.col("x.main.members") / BLOCK_SETS), F.ceil(2 * F.col("x.main.weight") / BLOCK_SHINGLES)))
+    blocks = F.coalesce(blocks, F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)))
+    todo = cut(todo.select(F.col("x.key").alias("key"), F.col("x.main.component").alias("main"), few.alias("few"), blocks.cast("int").alias("blocks")), "todo")
     if not todo.isEmpty():
         dealt = open_.join(todo, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "component").join(sets, "doc")
+        once = F.col("few") & (F.col("component") == F.col("main"))
+        dealt = dealt.withColumn("other", F.explode(F.when(once, F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        i, j = F.when(F.col("few"), F.col("other")).otherwise(F.least("own", "other")), F.when(F.col("few"), F.col("other")).otherwise(F.greatest("own", "other"))
+        dealt = dealt.select("key", i.alias("i"), j.alias("j"), "doc", "component").join(sets, "doc")
         more = dealt.groupBy("key", "i", "j").applyInArrow(_links_of_block(percent), "a long, b long")
         found = connected_components(found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 

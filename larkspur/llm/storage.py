@@ -24,6 +24,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
 
 
+def open_fs(uri: str, mode: str):
+    """A file in the shared folder, opened for random reads ("r") or for writing ("w"); "mkdir" makes a folder."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if mode == "mkdir":
+        return store.create_dir(path, recursive=True)
+    return store.open_input_file(path) if mode == "r" else store.open_output_stream(path)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back, which ends its lineage.
 
