@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larkspur.llm import licenses, line_dedup
+from larkspur.llm.decontamination import find_contamination, hit_words
 from larkspur.llm.near_dedup import near_duplicates
+from larkspur.llm.packing import pack_documents
+from larkspur.llm.quality_rules import quality_rules
+from larkspur.llm.token_files import read_token_files, write_token_files
+
+#: The public vocabulary that queries 8 and 9 name.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +25,54 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates,)}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and distances from the language's distributions of all documents."""
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each document stands in the benchmark."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+    n_hit = hit_words()
+    names = F.sha2(F.array_join(F.sort_array("items"), ","), 256)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, those dropped as boilerplate of its source, and a digest of what is left."""
+    rows = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.md5("text").alias("text_md5"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences among all documents, and known licence notices among their lines."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, and what these say of each document."""
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 ids."""
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_duplicates,
+        op2_quality_rules,
+        op3_decontamination,
+        op4_line_dedup,
+        op5_license_scan,
+        op8_token_files,
+        op9_best_fit_packing,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op5_license_scan": licenses.oracle(),
+}
