@@ -1,12 +1,68 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage takes what its predecessor kept, written as Parquet and reread; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm import decontamination, line_dedup, near_dedup, packing, quality_model
+from larkspur.llm.queries import TOKENIZER, table
+from larkspur.llm.storage import broadcast_if_small, cut
+
+#: Least quality score of a document that stays.
+MIN_QUALITY = 0.7
+#: Most ids of dropped documents that are broadcast (8 bytes each); beyond it the join is shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from the labels of some of them, doesn't reject."""
+    fair = ~quality_model.held_out()
+    model = quality_model.train(docs.where(fair), table(spark, sf_dir, "labels").where(fair))
+    return quality_model.score_texts(docs, model).where(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that are boilerplate of their source."""
+    rows = line_dedup.drop_boilerplate(docs)
+    return rows.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group that near duplicates link; documents without an id stay."""
+    found = near_dedup.near_duplicates(docs, shingle_words=5)
+    dropped = cut(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped")
+    return docs.join(broadcast_if_small(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of the benchmark."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences of 2048 ids."""
+    return packing.pack_documents(docs, TOKENIZER, capacity=2048)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+#: A trained classifier isn't SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

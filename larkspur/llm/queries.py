@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import licenses, line_dedup
+from larkspur.llm import licenses, line_dedup, quality_model, toxicity, warc
 from larkspur.llm.decontamination import find_contamination, hit_words
 from larkspur.llm.near_dedup import near_duplicates
 from larkspur.llm.packing import pack_documents
@@ -49,6 +49,20 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, by a model of labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs.where(~quality_model.held_out()), table(spark, sf_dir, "labels").where(~quality_model.held_out()))
+    rows = quality_model.score_texts(docs, model, columns=["doc_id"])
+    return rows.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC archives, and what their records say."""
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files, and what these say of each document."""
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), TOKENIZER))
@@ -59,6 +73,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, by a network learnt from labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs.where(~quality_model.held_out()), table(spark, sf_dir, "labels").where(~quality_model.held_out()))
+    rows = quality_model.score_texts(docs, model, columns=["doc_id"])
+    return rows.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,12 +89,16 @@ QUERIES = {
         op3_decontamination,
         op4_line_dedup,
         op5_license_scan,
+        op6_quality_classifier,
+        op7_warc,
         op8_token_files,
         op9_best_fit_packing,
+        op10_toxicity,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_license_scan": licenses.oracle(),
+    "op7_warc": warc.ORACLE,
 }

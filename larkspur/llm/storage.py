@@ -31,7 +31,7 @@ def open_fs(uri: str, mode: str):
     store, path = fs.FileSystem.from_uri(uri)
     if mode == "mkdir":
         return store.create_dir(path, recursive=True)
-    return store.open_input_file(path) if mode == "r" else store.open_output_stream(path)
+    return store.open_input_file(path) if mode == "r" else store.open_output_stream(path, compression=None)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
