@@ -197,13 +197,13 @@ def test_dual_coordinate_descent_separates():
 
 
 def test_toxicity(spark, docs, none):
-    clean = [(k, prose_of(30 + 3 * k, k)) for k in range(150)]
-    toxic = [(1000 + k, prose_of(20 + k, 900 + k) + (" scumbag" if k % 2 else " idiotic") + " " + prose_of(k, 70 + k)) for k in range(150)]
+    clean = [(k, prose_of(30 + k % 90, k)) for k in range(400)]
+    toxic = [(1000 + k, prose_of(20 + k % 90, 900 + k) + (" scumbag" if k % 2 else " idiotic") + " " + prose_of(k % 90, 70 + k)) for k in range(400)]
     frame = spark.createDataFrame(clean + toxic + [(9, None), (8, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, 0) for k, _ in clean[:100]] + [(k, 1) for k, _ in toxic[:100]] + [(None, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(k, 0) for k, _ in clean[:300]] + [(k, 1) for k, _ in toxic[:300]] + [(None, 1)], "doc_id long, toxic int")
     model = toxicity.train(frame.where("doc_id > 9"), labels)
     score = {r.doc_id: r.score for r in quality_model.score_texts(frame, model).collect() if r.doc_id > 9}
-    right = [score[k] < 0.3 for k, _ in clean[100:]] + [score[k] >= 0.3 for k, _ in toxic[100:]]
+    right = [score[k] < 0.3 for k, _ in clean[300:]] + [score[k] >= 0.3 for k, _ in toxic[300:]]
     assert np.mean(right) > 0.9
     assert quality_model.score_texts(docs, model).count() == len(odd_documents()) and quality_model.score_texts(none, model).collect() == []
 
