@@ -21,9 +21,9 @@ from larkspur.llm.storage import cut
 from larkspur.llm.tokens import encoded
 
 #: Items of a group, about. Every group of a round is one task's work at most.
-GROUP_ITEMS = 50_000
-#: Groups of the first round at least, and how many of them meet in one of the next.
-GROUPS, FAN_IN = 32, 8
+GROUP_ITEMS = 25_000
+#: How many groups of a round meet in one of the next.
+FAN_IN = 8
 _PIECES = "key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -104,7 +104,7 @@ def pack_items(items: DataFrame, capacity: int = 2048, slack: int = 8) -> DataFr
     slack: bins with no more room than this are done. The offsets of a sequence leave no gap.
     """
     count = items.count()
-    groups = max(GROUPS, -(-count // GROUP_ITEMS))
+    groups = max(1, -(-count // GROUP_ITEMS))
     placed, loose, round_ = None, items.select("key", "length"), 0
     while True:
         dealt = loose.withColumn("group", F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(groups)))

@@ -19,11 +19,11 @@ import pyarrow.compute as pc
 from larkspur.llm.textkit import ranges, text_buffers
 
 #: Bytes of text encoded at once; a longer text is encoded alone and whole.
-CHUNK = 12 << 20
+CHUNK = 2 << 20
 #: Words a worker remembers; when it has more, it forgets them all and begins anew.
-MEMORY = 1_500_000
+MEMORY = 800_000
 #: Words that are encoded as one string.
-_JOINED = 4096
+_JOINED = 1024
 
 #: A space that white space or the end follows: texts that have one are cut by the slower rule.
 _ODD = r" ([\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
@@ -62,13 +62,16 @@ class Encoder:
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words without spaces, each after a space, and the number of each word's."""
         joined = [" " + " ".join(words[k : k + _JOINED]) for k in range(0, len(words), _JOINED)]
-        ids = np.concatenate(self._alone(joined)) if joined else np.zeros(0, np.uint32)
+        # few at a time, as the library's own results are large
+        parts = [np.concatenate(self._alone(joined[k : k + 4])) for k in range(0, len(joined), 4)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(words):
             raise ValueError("this vocabulary isn't byte-level BPE with spaces at the front")
         return ids, np.diff(np.concatenate((starts, [len(ids)])))
 
-    def _learn(self, words: pa.Array) -> None:
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Adds words that aren't known; the places they get."""
         plain = pc.invert(pc.or_(pc.match_substring(words, " "), pc.equal(words, "")))
         easy, hard = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
         ids, counts = self._together(easy.to_pylist())
@@ -76,6 +79,10 @@ class Encoder:
         self.words = pa.concat_arrays([self.words, easy, pa.array(hard, pa.large_string())])
         self.ids = np.concatenate([self.ids, ids, *more])
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate((counts, [len(m) for m in more])).astype(np.int64))))
+        known, plain = len(self.words) - len(words), plain.to_numpy(zero_copy_only=False).astype(bool)
+        places = np.empty(len(words), np.int64)
+        places[plain], places[~plain] = known + np.arange(plain.sum()), known + plain.sum() + np.arange((~plain).sum())
+        return places
 
     def encode(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's begin (and the last ends).
@@ -95,10 +102,10 @@ class Encoder:
         rest = flat.filter(pa.array(~head)).dictionary_encode()
         if len(self.words) > MEMORY:
             self._forget()
-        fresh = pc.is_null(pc.index_in(rest.dictionary, value_set=self.words))
-        if pc.any(fresh).as_py():
-            self._learn(rest.dictionary.filter(fresh))
-        place = pc.index_in(rest.dictionary, value_set=self.words).to_numpy().astype(np.int64)
+        place = pc.fill_null(pc.index_in(rest.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
+        fresh = place < 0
+        if fresh.any():
+            place[fresh] = self._learn(rest.dictionary.filter(pa.array(fresh)))
         # the texts' first parts, which no space precedes, are encoded as they are
         heads = self._alone(flat.take(pa.array(begin)).to_pylist())
         table = np.concatenate([self.ids, *heads])
@@ -137,3 +144,4 @@ def encoded(batch: pa.RecordBatch, texts: int, name: str, end: int | None = 0) -
         some = batch.slice(low, high - low)
         yield some, *encoder(name).encode(some.column(texts), end)
         low = high
+    pa.default_memory_pool().release_unused()
