@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,6 +46,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that the JVM hands to Python, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df as it is; from now on its session hands at most BATCH_BYTES at once to Python, so that long texts don't add up.
+
+    A smaller bound that the session has already stays.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.sub("[^0-9]", "", spark.conf.get(key, "67108864b"))
+    if int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most that many rows; otherwise as it is, for a shuffled join.
 
