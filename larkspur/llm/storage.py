@@ -62,6 +62,19 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Most tasks that one step is dealt to.
+MOST_TASKS = 100_000
+
+
+def tasks(amount: int, of: int) -> int:
+    """How many tasks share an amount of which each takes about `of`.
+
+    For steps whose rows are small but stand for much work, such as paths of files: without a number of its own,
+    the engine would merge partitions by the bytes of the rows alone, at last into one.
+    """
+    return min(MOST_TASKS, max(1, -(-amount // of)))
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most that many rows; otherwise as it is, for a shuffled join.
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bounded, cut, new_path, open_fs
+from larkspur.llm.storage import bounded, cut, new_path, open_fs, tasks
 from larkspur.llm.tokens import encoded, encoder
 
 MAGIC = b"LKTOK001"
@@ -205,6 +205,8 @@ def _read(with_ids: bool):
 
 def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per document of the files that write_token_files() returned: doc_id, start (ids of all documents
-    before it), n_tokens (with the end id), ids_crc32 (of its ids as 32-bit integers), and ids if asked for."""
+    before it), n_tokens (with the end id), ids_crc32 (of its ids as 32-bit integers), and ids if asked for.
+
+    A file is one task's work, or with very many files, a few of them are."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return bounded(files).select("path", "start").repartition(F.col("path")).mapInArrow(_read(with_ids), schema)
+    return bounded(files).select("path", "start").repartition(tasks(files.count(), 1), "path").mapInArrow(_read(with_ids), schema)
