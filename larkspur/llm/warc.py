@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bounded, broadcast_if_small, cut, new_path, open_fs
+from larkspur.llm.storage import bounded, broadcast_if_small, cut, new_path, open_fs, tasks
 
 #: Payloads of fewer bytes are always stored themselves.
 MIN_REVISIT = 1000
@@ -163,7 +163,8 @@ def read_archives(index: DataFrame, with_html: bool = False) -> DataFrame:
     Stretches of READ_TASK bytes of a file are dealt to tasks and each sorted by offset, so that neighbours are read at once.
     """
     stretch = (F.col("offset") / F.lit(READ_TASK)).cast("long")
-    rows = index.select("file", "offset", "length").repartition(F.col("file"), stretch).sortWithinPartitions("file", "offset")
+    n = tasks(index.agg(F.sum("length")).first()[0] or 0, READ_TASK)
+    rows = index.select("file", "offset", "length").repartition(n, F.col("file"), stretch).sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * with_html
     return bounded(rows).mapInArrow(_read(with_html), schema)
 
