@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import shingles as sh
-from larkspur.llm.storage import bounded, cut
+from larkspur.llm.storage import bounded, cut, trimmed
 from larkspur.llm.textkit import NON_ALPHANUMERIC, chunks, find_words, lists
 
 #: Most benchmark windows of a block, about 100 bytes each.
@@ -126,7 +126,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_column: str =
     """
     spark = docs.sparkSession
     given = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text")).where("item is not null")
-    windows = cut(bounded(given).mapInArrow(_benchmark_windows(window), "item string, size int, hash long, window string").distinct(), "benchmark-windows")
+    windows = cut(bounded(given).mapInArrow(trimmed(_benchmark_windows(window)), "item string, size int, hash long, window string").distinct(), "benchmark-windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     columns = columns or docs.columns
     rows = docs.select(*columns, F.col(text_column).cast("string").alias("larkspur_text"))
@@ -134,7 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_column: str =
     for k in range(blocks):
         # a block's size is bounded, whatever the benchmark's
         block = spark.sparkContext.broadcast(_Block(windows.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k).collect()))
-        rows = bounded(rows).mapInArrow(_scan(block, k > 0), schema + ", larkspur_n long, larkspur_spans array<struct<low:int,high:int>>, larkspur_items array<string>")
+        rows = bounded(rows).mapInArrow(trimmed(_scan(block, k > 0)), schema + ", larkspur_n long, larkspur_spans array<struct<low:int,high:int>>, larkspur_items array<string>")
         if k + 1 < blocks:
             rows = cut(rows, f"contamination-{k}")
     return rows.drop("larkspur_text").withColumnsRenamed({"larkspur_n": "n_words", "larkspur_spans": "spans", "larkspur_items": "items"})
@@ -175,7 +175,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_column: str = "text
     marked = find_contamination(docs, benchmark, text_column, **names)
     renamed = marked.select(*[F.col(c) for c in docs.columns if c != text_column], F.col(text_column).cast("string").alias("larkspur_text"), F.col("spans").alias("larkspur_spans"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema.fields)
-    return bounded(renamed).mapInArrow(_without_spans, schema).withColumnRenamed("larkspur_text", text_column).select(*docs.columns)
+    return bounded(renamed).mapInArrow(trimmed(_without_spans), schema).withColumnRenamed("larkspur_text", text_column).select(*docs.columns)
 
 
 def contamination_by_hand(text: str | None, items: dict[str, str | None], window: int = 10) -> tuple[int, int, int, str]:

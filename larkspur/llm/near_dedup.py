@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import shingles as sh
 from larkspur.llm.components import connected_components
-from larkspur.llm.storage import bounded, broadcast_if_small, cut
+from larkspur.llm.storage import bounded, broadcast_if_small, cut, trimmed
 from larkspur.llm.textkit import WHITESPACE, chunks, find_words, lists
 
 #: Sets of fewer elements are sketched together, as they need many rounds of few elements.
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     of docs other than these two are not used. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    made = cut(bounded(texts).mapInArrow(_fingerprint(shingle_words, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "fingerprints")
+    made = cut(bounded(texts).mapInArrow(trimmed(_fingerprint(shingle_words, bands, rows)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "fingerprints")
     narrow = made.select("doc_id", "n_shingles", "d1", "d2")
     classes = cut(narrow.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
 
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     buckets = cut(member.groupBy("key").agg(F.count("*").alias("members"), F.array(*orders).alias("leaders")).where("members > 1"), "buckets")
     member = cut(member.join(buckets, "key").select("key", "doc", "n", "members", "leaders"), "members")
     compared = broadcast_if_small(cut(member.select("doc").distinct(), "compared"), BROADCAST_IDS)
-    sets = cut(bounded(texts).join(compared, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_shingle_sets(shingle_words), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
+    sets = cut(bounded(texts).join(compared, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(trimmed(_shingle_sets(shingle_words)), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
 
     # 2: each member against the leaders of its bucket
     pairs = member.select("doc", "n", F.explode("leaders").alias("leader"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bounded, cut
+from larkspur.llm.storage import bounded, cut, trimmed
 from larkspur.llm.tokens import encoded
 
 #: Items of a group, about. Every group of a round is one task's work at most.
@@ -59,7 +59,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end:
     many ids, the first of which has what is left over.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return bounded(rows).mapInArrow(_pieces(tokenizer, capacity, end), _PIECES)
+    return bounded(rows).mapInArrow(trimmed(_pieces(tokenizer, capacity, end)), _PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

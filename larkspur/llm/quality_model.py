@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bounded, cut
+from larkspur.llm.storage import bounded, cut, trimmed
 from larkspur.llm.textkit import WHITESPACE, chunks, find_words, lists, mix
 
 #: Hashed features.
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         chosen = some if chosen is None else chosen.unionAll(some)
     chosen = F.broadcast(cut(chosen, "labelled"))  # 2 * sample rows at most
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    rows = bounded(texts).join(chosen, "id").select("label", "text", "id").mapInArrow(_feature_lists, "label int, features array<int>")
+    rows = bounded(texts).join(chosen, "id").select("label", "text", "id").mapInArrow(trimmed(_feature_lists), "label int, features array<int>")
     table = rows.limit(4 * sample).toArrow()
     order = np.argsort(mix(np.array([hash(tuple(f[:8])) + len(f) for f in table.column("features").to_pylist()], dtype=np.int64).view(np.uint64))) if table.num_rows else np.zeros(0, int)
     features = [np.array(table.column("features")[int(i)].values.to_numpy(zero_copy_only=False), dtype=np.int64) for i in order]
@@ -213,7 +213,7 @@ def score_texts(docs: DataFrame, model, text_column: str = "text", columns: list
     columns = columns or docs.columns
     rows = docs.select(*columns, F.col(text_column).cast("string").alias("larkspur_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return bounded(rows).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), len(columns)), schema + ", score double")
+    return bounded(rows).mapInArrow(trimmed(_score(docs.sparkSession.sparkContext.broadcast(model), len(columns))), schema + ", score double")
 
 
 def held_out(id_column: str = "doc_id"):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "spark.checkpoint.dir"
@@ -62,6 +64,24 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def trimmed(run):
+    """run, a function over Arrow batches; when it is done, its worker gives memory that it no longer uses back.
+
+    Workers outlive their tasks, and what one stage took would else add to what the next one takes.
+    """
+
+    def with_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries may not
+            if trim:
+                trim(0)
+
+    return with_end
+
+
 #: Most tasks that one step is dealt to.
 MOST_TASKS = 100_000
 

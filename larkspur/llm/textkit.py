@@ -59,7 +59,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below size, at least."""
-    return _powers(max(CHUNK * 2, 1 << (size - 1).bit_length()))
+    return _powers(CHUNK + 1 if size <= CHUNK + 1 else 1 << (size - 1).bit_length())
 
 
 @dataclass

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bounded, cut, new_path, open_fs, tasks
+from larkspur.llm.storage import bounded, cut, new_path, open_fs, tasks, trimmed
 from larkspur.llm.tokens import encoded, encoder
 
 MAGIC = b"LKTOK001"
@@ -174,7 +174,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int | None =
     bits = bits_for(vocabulary or encoder(tokenizer).size)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    files = cut(bounded(rows).mapInArrow(_write(tokenizer, folder, bits, end), _SHARDS), "token-files")
+    files = cut(bounded(rows).mapInArrow(trimmed(_write(tokenizer, folder, bits, end)), _SHARDS), "token-files")
     # one row for each file of some 2**25 ids: the only thing that meets in one task
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -209,4 +209,4 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
     A file is one task's work, or with very many files, a few of them are."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return bounded(files).select("path", "start").repartition(tasks(files.count(), 1), "path").mapInArrow(_read(with_ids), schema)
+    return bounded(files).select("path", "start").repartition(tasks(files.count(), 1), "path").mapInArrow(trimmed(_read(with_ids)), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bounded, cut
+from larkspur.llm.storage import bounded, cut, trimmed
 from larkspur.llm.textkit import NON_ALPHANUMERIC, Words, chunks, find_words, mix, powers
 
 #: Words of a window, and from one window's start to the next's.
@@ -317,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         chosen = some if chosen is None else chosen.unionAll(some)
     chosen = F.broadcast(cut(chosen, "labelled"))  # 2 * sample rows at most
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    table = bounded(texts).join(chosen, "id").select("label", "text").mapInArrow(_learnt_keys, "label int, keys binary").limit(4 * sample).toArrow()
+    table = bounded(texts).join(chosen, "id").select("label", "text").mapInArrow(trimmed(_learnt_keys), "label int, keys binary").limit(4 * sample).toArrow()
     width = 1 + len(_FRONT) + 4 * len(_INSIDE)
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     rows = sorted(zip(table.column("keys").to_pylist(), table.column("label").to_pylist()))  # the same order whatever task came first

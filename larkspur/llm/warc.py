@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bounded, broadcast_if_small, cut, new_path, open_fs, tasks
+from larkspur.llm.storage import bounded, broadcast_if_small, cut, new_path, open_fs, tasks, trimmed
 
 #: Payloads of fewer bytes are always stored themselves.
 MIN_REVISIT = 1000
@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url_column: str
     firsts = cut(firsts.select("digest", "bytes", "first"), "repeated-payloads")
     keyed = rows.withColumns({"key": F.when(large, F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html")})
     placed = keyed.join(broadcast_if_small(firsts, BROADCAST_DIGESTS), (F.col("key") == F.col("digest")) & (F.col("size") == F.col("bytes")), "left")
-    return cut(bounded(placed).select("page_id", "url", "html", "first").mapInArrow(_write(folder), _INDEX), "warc-index")
+    return cut(bounded(placed).select("page_id", "url", "html", "first").mapInArrow(trimmed(_write(folder)), _INDEX), "warc-index")
 
 
 def _read(with_html: bool):
@@ -166,7 +166,7 @@ def read_archives(index: DataFrame, with_html: bool = False) -> DataFrame:
     n = tasks(index.agg(F.sum("length")).first()[0] or 0, READ_TASK)
     rows = index.select("file", "offset", "length").repartition(n, F.col("file"), stretch).sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * with_html
-    return bounded(rows).mapInArrow(_read(with_html), schema)
+    return bounded(rows).mapInArrow(trimmed(_read(with_html)), schema)
 
 
 #: DuckDB SQL for the rows of read_archives(write_archives(pages)) without the url
