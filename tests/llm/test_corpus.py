@@ -126,6 +126,18 @@ def test_quality_rules(spark, docs, none):
     assert not kept[99] and all(kept[k] for k in range(40))
 
 
+def test_texts_without_common_words_go_at_any_length(spark):
+    schema = "doc_id long, text string, lang string"
+    usual = [(k, "\t".join(f"{w} the {w} of" for w in words_of(60 + k, k).split()), "en") for k in range(40)]
+    without = [(100 + n, words_of(n, n), "en") for n in (50, 120, 500, 5000)]
+    few = [(200, words_of(2000, 5) + " the of and", "en")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(usual + without + few + [(300, words_of(500, 6), "xx"), (301, words_of(500, 7), None)], schema)).collect()}
+    for k in (*(r[0] for r in without), 200):
+        assert not got[k].base_failed and got[k].word_distance > 0.2 and not got[k].kept
+    assert all(got[k].kept and got[k].word_distance < 0.3 for k in range(40))
+    assert all(got[k].kept and got[k].word_distance is None for k in (300, 301))
+
+
 def test_jensen_shannon(spark):
     frame = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.5, 0.5])], "p array<double>, q array<double>")
     got = [r[0] for r in frame.select(quality_rules.jensen_shannon(F.col("p"), F.col("q"))).collect()]
