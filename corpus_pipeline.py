@@ -15,6 +15,8 @@ from larkspur.llm.storage import broadcast_if_small, cut
 
 #: Least quality score of a document that stays.
 MIN_QUALITY = 0.7
+#: Least pages of a host, of whatever size, that have a line before it can be boilerplate.
+MIN_LINE_PAGES = 3
 #: Most ids of dropped documents that are broadcast (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -28,7 +30,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate of their source."""
-    rows = line_dedup.drop_boilerplate(docs)
+    rows = line_dedup.drop_boilerplate(docs, min_pages=1, min_line_pages=MIN_LINE_PAGES)
     return rows.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

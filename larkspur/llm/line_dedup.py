@@ -29,28 +29,29 @@ def _digest(line: Column) -> Column:
     return F.when(bare != "", F.concat_ws(".", F.xxhash64(F.lit(1), bare), F.xxhash64(F.lit(2), bare)))
 
 
-def boilerplate_lines(docs: DataFrame, host_column: str = "source", text_column: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host_column: str = "source", text_column: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, min_line_pages: int = 1) -> DataFrame:
     """(host, boilerplate: array of line digests) of the hosts that have any."""
     rows = docs.select(F.col(host_column).cast("string").alias("host"), F.col(text_column).cast("string").alias("text"))
     pages = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     lines = rows.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _bare))).alias("line")).where("line != ''")
     lines = lines.select("host", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
     # a line that is once in all its host can't exceed the ratio of min_pages or more
-    often = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > max_ratio * min_pages)
+    often = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where((F.col("n") > max_ratio * min_pages) & (F.col("n") >= min_line_pages))
     over = often.join(pages.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > max_ratio * F.col("pages"))
     return over.groupBy("host").agg(F.collect_list(F.concat_ws(".", "h1", "h2")).alias("boilerplate"))
 
 
-def drop_boilerplate(docs: DataFrame, host_column: str = "source", text_column: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_column: str = "source", text_column: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, min_line_pages: int = 1) -> DataFrame:
     """docs with its boilerplate lines dropped from the texts, and two columns more: lines_before, lines_dropped.
 
     A host is a value of host_column; null is one of its own. Every row counts as a page, also repeated ones. A
     page's lines are what \\n separates, without white space at their ends; lines of white space alone
     are never dropped. A line goes, from all pages of the host, if the pages that have it are more than
-    max_ratio of all the host's pages. Hosts of fewer than min_pages pages keep everything. Null texts stay
-    null, and an empty table gives an empty result.
+    max_ratio of all the host's pages, and at least min_line_pages. Hosts of fewer than min_pages pages keep
+    everything; with min_pages=1 and a min_line_pages of a few, hosts of any size lose their boilerplate. Null
+    texts stay null, and an empty table gives an empty result.
     """
-    hosts = cut(boilerplate_lines(docs, host_column, text_column, max_ratio, min_pages), "boilerplate")
+    hosts = cut(boilerplate_lines(docs, host_column, text_column, max_ratio, min_pages, min_line_pages), "boilerplate")
     total = hosts.agg(F.sum(F.size("boilerplate"))).first()[0] or 0
     hosts = F.broadcast(hosts) if total <= BROADCAST_LINES else hosts
     hosts = hosts.select(F.col("host").alias("larkspur_host"), F.col("boilerplate").alias("larkspur_boilerplate"))
