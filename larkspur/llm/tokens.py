@@ -4,6 +4,9 @@ Byte-level BPE splits a text into pre-tokens before it merges anything, and a si
 the first character of the pre-token that follows it. A text may hence be cut before every space that a
 character other than white space follows, and the parts encoded on their own. Most parts are words that
 come again and again: each worker encodes a word once and looks it up from then on.
+
+The library takes the vocabulary's added tokens, such as a marker of a text's end, out of a text before anything
+else. What stands before, between and after them is encoded as texts of their own.
 """
 
 from __future__ import annotations
@@ -46,7 +49,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        if any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in added):
+            raise ValueError("this vocabulary has added tokens that take white space with them or depend on their neighbours")
+        # the longest of those that begin at one place, as the library has it
+        self.added = "|".join(re.escape(t) for t in sorted((t.content for t in added if t.content), key=len, reverse=True))
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
         self.opens = np.zeros(self.size, dtype=bool)
@@ -90,6 +97,27 @@ class Encoder:
         end: an id that follows each text. Null counts as an empty text.
         """
         column = pc.fill_null(column.cast(pa.large_string()), "")
+        ids, first = self._encode_parted(column)
+        if end is None:
+            return ids, first
+        out = np.full(len(ids) + len(column), end, dtype=np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(column)), np.diff(first))] = ids
+        return out, first + np.arange(len(first))
+
+    def _encode_parted(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() without an end: texts that hold added tokens are parted at these."""
+        if not self.added:
+            return self._encode_plain(column)
+        marked = pc.match_substring_regex(column, self.added).to_numpy(zero_copy_only=False).astype(bool)
+        if not marked.any():
+            return self._encode_plain(column)
+        split = re.compile(f"({self.added})")
+        parts = [split.split(t) if m else [t] for t, m in zip(column.to_pylist(), marked)]
+        ids, first = self._encode_plain(pa.array([p for some in parts for p in some], pa.large_string()))
+        return ids, first[np.concatenate(([0], np.cumsum([len(some) for some in parts])))]
+
+    def _encode_plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() without an end, of texts that either are an added token or hold none."""
         odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False).astype(bool)
         parts = [pc.split_pattern(column.filter(pa.array(~odd)), " ")]
         if odd.any():
@@ -121,12 +149,7 @@ class Encoder:
             starts, counts = starts[at], counts[at]
         total = np.concatenate(([0], np.cumsum(counts)))
         first = total[np.concatenate(([0], np.cumsum(sizes)))]
-        ids = table[np.repeat(starts - total[:-1], counts) + np.arange(total[-1])]
-        if end is None:
-            return ids, first
-        out = np.full(len(ids) + len(sizes), end, dtype=np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), np.diff(first))] = ids
-        return out, first + np.arange(len(first))
+        return table[np.repeat(starts - total[:-1], counts) + np.arange(total[-1])], first
 
 
 @lru_cache(maxsize=2)

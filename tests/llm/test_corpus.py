@@ -272,6 +272,24 @@ def plain_ids(text):
     return tokens.encoder(TOKENIZER).tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
+def test_ids_are_those_of_the_library_as_loaded(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.tokenizer_path(TOKENIZER))
+    end = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", end, f"{end}{end}", f"x{end}", f"{end} x", f"a  {end}  b", f"a \n {end}\n b {end} ", "<|endoftext", f"<|{end}|>", f"{words_of(3000, 8)} {end} {words_of(3000, 9)}", "a b", "", None, f" {end}é"]
+    texts += ["".join(np.random.default_rng(k).choice(["a", " ", "\n", "\u00a0", "ß1", "'ll", end], 12)) for k in range(300)]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for stop in (None, 0):
+        ids, first = tokens.Encoder(TOKENIZER).encode(pa.array(texts), stop)
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [w + ([] if stop is None else [stop]) for w in want]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in token_files.read_token_files(token_files.write_token_files(frame, TOKENIZER), with_ids=True).collect()}
+    assert got == {k: w + [0] for k, w in enumerate(want)}
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000).astype(np.uint32)
