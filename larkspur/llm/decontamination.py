@@ -92,7 +92,7 @@ def _scan(block, with_state: bool):
                 for i in range(high - low):
                     spans, names = found.get(i, ((), ()))
                     spans_out.append([{"low": a, "high": b} for a, b in spans])
-                    items_out.append(list(names))
+                    items_out.append([x for x in names if x is not None])
             if with_state:
                 for i, (spans, names) in enumerate(zip(batch.column("larkspur_spans").to_pylist(), batch.column("larkspur_items").to_pylist())):
                     spans_out[i] += spans
@@ -121,11 +121,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_column: str =
 
     Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F], with A-Z lower-cased. An item's windows are its runs of
     `window` consecutive words; an item of fewer words, but not none, is one window. Every hash that is met is
-    compared word by word. Null texts have no words; null item ids are left out; repeated rows come back
+    compared word by word. Null texts have no words; items without an id count for spans, but are left out of items; repeated rows come back
     as often as they are there. An empty benchmark contaminates nothing.
     """
     spark = docs.sparkSession
-    given = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text")).where("item is not null")
+    given = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text"))
     windows = cut(bounded(given).mapInArrow(trimmed(_benchmark_windows(window)), "item string, size int, hash long, window string").distinct(), "benchmark-windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     columns = columns or docs.columns

@@ -165,6 +165,18 @@ def test_decontamination(spark, docs, none):
     assert cut.count() == len(odd_documents()) and decontamination.find_contamination(cut, benchmark).where("size(spans) > 0").count() == 0
 
 
+def test_items_without_an_id_contaminate(spark):
+    secret, known = words_of(20, 50), words_of(20, 51)
+    frame = spark.createDataFrame([(1, f"a {secret} b"), (2, f"a {known} b"), (3, words_of(40, 52)), (4, f"{secret} {known}")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, secret), (6, known), (None, known)], "item_id long, text string")
+    for block in (500_000, 7):
+        decontamination.BLOCK_WINDOWS = block
+        rows = decontamination.find_contamination(frame, benchmark).withColumn("n_hit", decontamination.hit_words()).collect()
+        assert {r.doc_id: (r.n_hit, r["items"]) for r in rows} == {1: (20, []), 2: (20, ["6"]), 3: (0, []), 4: (40, ["6"])}
+        assert [r.doc_id for r in decontamination.drop_contaminated(frame, benchmark).collect()] == [3]
+    decontamination.BLOCK_WINDOWS = 500_000
+
+
 def test_line_dedup(spark, docs, none):
     rows = [(k, f"menu \nhome\nown {k}\n\nmenu", "a") for k in range(30)] + [(100 + k, f"menu\nown {k}", "b") for k in range(5)] + [(200, None, "a"), (201, "", None), (202, "menu", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
