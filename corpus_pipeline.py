@@ -58,7 +58,7 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("best-fit packing", pack),
 ]
-#: A trained classifier isn't SQL; tests hold the stages against plain Python.
+#: A trained classifier isn't SQL; tests hold the operators of the stages against plain Python, but not run() as a whole.
 ORACLE_SQL = None
 
 
