@@ -5,16 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+FOLDER = "spark.checkpoint.dir"
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written below spark.checkpoint.dir (a temporary folder where that is unset) and read back."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one if all tasks run on this machine."""
+    folder = spark.sparkContext.getConf().get(FOLDER) or spark.conf.get(FOLDER, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {FOLDER} to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/larkspur/{name}-{uuid.uuid4().hex}"
+        spark.conf.set(FOLDER, folder)
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that no other call gets. Nothing is removed here: the folder's owner clears it after the job."""
+    return f"{shared_folder(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written below the shared folder and read back, which ends its lineage.
+
+    A lost executor then costs a re-read of the table, not a rerun of what made it.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
