@@ -131,6 +131,13 @@ def chunks(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, in
         low = high
 
 
+def string_hashes(column: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string's bytes, the same in every column."""
+    data, offsets = text_buffers(column)
+    words = Words(data, offsets[:-1], offsets[1:], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return words.hashes()
+
+
 def ranges(counts: np.ndarray) -> np.ndarray:
     """0 .. counts[0]-1, 0 .. counts[1]-1 and so on, in one array."""
     total = np.cumsum(counts)

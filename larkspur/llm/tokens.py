@@ -11,6 +11,7 @@ else. What stands before, between and after them is encoded as texts of their ow
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from larkspur.llm.textkit import ranges, text_buffers
+from larkspur.llm.textkit import ranges, string_hashes, text_buffers
 
 #: Bytes of text encoded at once; a longer text is encoded alone and whole.
 CHUNK = 2 << 20
-#: Words a worker remembers; when it has more, it forgets them all and begins anew.
-MEMORY = 800_000
-#: Words that are encoded as one string.
-_JOINED = 1024
+#: Words a worker remembers; when it has more, it forgets those that haven't come again since it last did so.
+MEMORY = 1_200_000
+#: Words that are encoded as one string, and strings that are given to the library at once, as its own results are large.
+_JOINED, _AT_ONCE = 64, 64
 
 #: A space that white space or the end follows: texts that have one are cut by the slower rule.
 _ODD = r" ([\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
@@ -46,6 +47,8 @@ class Encoder:
     """Encodes Arrow string columns with one byte-level BPE vocabulary."""
 
     def __init__(self, name: str):
+        # every core has a worker of its own; threads of the library's would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
@@ -62,6 +65,31 @@ class Encoder:
 
     def _forget(self) -> None:
         self.words, self.ids, self.first = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the words, by hash
+        self.again = np.zeros(0, np.int64)  # how often a chunk after the word's first had it
+
+    def _forget_rare(self) -> None:
+        keep = np.flatnonzero(self.again > 0)
+        if len(keep) > MEMORY // 2:
+            keep = np.sort(keep[np.argsort(-self.again[keep], kind="stable")[: MEMORY // 2]])
+        counts, hashes = np.diff(self.first)[keep], np.empty(len(self.words), np.uint64)
+        hashes[self.places] = self.hashes
+        self.ids = self.ids[np.repeat(self.first[keep], counts) + ranges(counts)]
+        self.first = np.concatenate(([0], np.cumsum(counts)))
+        self.words, self.again = self.words.take(pa.array(keep)), np.zeros(len(keep), np.int64)
+        self.places = np.argsort(hashes[keep])
+        self.hashes = hashes[keep][self.places]
+
+    def _known(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word that is remembered, else -1; a word of the same hash is compared."""
+        if not len(self.hashes):
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        place = np.where(self.hashes[at] == hashes, self.places[at], -1)
+        met = np.flatnonzero(place >= 0)
+        same = pc.equal(self.words.take(pa.array(place[met])), words.take(pa.array(met))).to_numpy(zero_copy_only=False)
+        place[met[~same.astype(bool)]] = -1
+        return place
 
     def _alone(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,15 +97,14 @@ class Encoder:
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words without spaces, each after a space, and the number of each word's."""
         joined = [" " + " ".join(words[k : k + _JOINED]) for k in range(0, len(words), _JOINED)]
-        # few at a time, as the library's own results are large
-        parts = [np.concatenate(self._alone(joined[k : k + 4])) for k in range(0, len(joined), 4)]
+        parts = [np.concatenate(self._alone(joined[k : k + _AT_ONCE])) for k in range(0, len(joined), _AT_ONCE)]
         ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(words):
             raise ValueError("this vocabulary isn't byte-level BPE with spaces at the front")
         return ids, np.diff(np.concatenate((starts, [len(ids)])))
 
-    def _learn(self, words: pa.Array) -> np.ndarray:
+    def _learn(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Adds words that aren't known; the places they get."""
         plain = pc.invert(pc.or_(pc.match_substring(words, " "), pc.equal(words, "")))
         easy, hard = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
@@ -89,6 +116,10 @@ class Encoder:
         known, plain = len(self.words) - len(words), plain.to_numpy(zero_copy_only=False).astype(bool)
         places = np.empty(len(words), np.int64)
         places[plain], places[~plain] = known + np.arange(plain.sum()), known + plain.sum() + np.arange((~plain).sum())
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.places = np.insert(self.hashes, at, hashes[order]), np.insert(self.places, at, places[order])
+        self.again = np.concatenate((self.again, np.zeros(len(words), np.int64)))
         return places
 
     def encode(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +160,13 @@ class Encoder:
         head[begin] = True
         rest = flat.filter(pa.array(~head)).dictionary_encode()
         if len(self.words) > MEMORY:
-            self._forget()
-        place = pc.fill_null(pc.index_in(rest.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
+            self._forget_rare()
+        hashes = string_hashes(rest.dictionary)
+        place = self._known(rest.dictionary, hashes)
         fresh = place < 0
+        self.again[place[~fresh]] += 1
         if fresh.any():
-            place[fresh] = self._learn(rest.dictionary.filter(pa.array(fresh)))
+            place[fresh] = self._learn(rest.dictionary.filter(pa.array(fresh)), hashes[fresh])
         # the texts' first parts, which no space precedes, are encoded as they are
         heads = self._alone(flat.take(pa.array(begin)).to_pylist())
         table = np.concatenate([self.ids, *heads])
