@@ -4,27 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-FOLDER = "spark.checkpoint.dir"
+from larkspur.sources.storage import new_path
+from larkspur.sources.storage import written as cut
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, one of its own."""
-    folder = spark.sparkContext.getConf().get(FOLDER) or spark.conf.get(FOLDER, None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(FOLDER, folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
+__all__ = ["bounded", "broadcast_if_small", "cut", "free_name", "join_with_hot", "new_path", "open_fs", "tasks", "trimmed"]
 
 
 def open_fs(uri: str, mode: str):
@@ -37,17 +25,6 @@ def open_fs(uri: str, mode: str):
     return store.open_input_file(path) if mode == "r" else store.open_output_stream(path, compression=None)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back, which ends its lineage.
-
-    A lost executor then costs a re-read of the table, not a rerun of what made it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of an Arrow batch that the JVM hands to Python, about; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 
@@ -100,6 +77,29 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 
     Meant for tables already written with cut(), where counting costs a read of the footers.
     """
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: A key that has more than this share of the rows is a hot one. There can be no more of them than its inverse.
+HOT_KEYS = 10_000
+
+
+def join_with_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right on keys, without putting all rows of a hot key into one task.
+
+    right has one narrow row for each key, and says in its column `rows` how many rows of left have the key; `total` is the
+    number of rows of left, and `how` is inner or left. Rows of right for hot keys, at most HOT_KEYS by their definition, are
+    broadcast; the others are met in a shuffle, in which no key has more than total / HOT_KEYS rows. Keys must not be null.
+    """
+    bound = total // HOT_KEYS
+    hot, cold = right.where(F.col(rows) > bound).drop(rows), right.where(F.col(rows) <= bound).drop(rows)
+    met = left.join(F.broadcast(hot), keys)
+    return met.unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
