@@ -12,14 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm import shingles as sh
 from larkspur.llm.storage import bounded, cut, trimmed
 from larkspur.llm.textkit import NON_ALPHANUMERIC, chunks, find_words, lists
 
-#: Most benchmark windows of a block, about 100 bytes each.
+#: Most (item, window) pairs of a block, about. A pair takes its window's text, if no other pair of the block has it, and some 30 bytes.
 BLOCK_WINDOWS = 500_000
 
 
@@ -44,16 +46,42 @@ def _benchmark_windows(size: int):
     return run
 
 
+class _Windows:
+    """Distinct windows of one size, in ascending order of their hashes, and the items of each; all in flat arrays."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.take(pc.sort_indices(rows, [("hash", "ascending"), ("window", "ascending")])).combine_chunks()
+        hashes, text = rows.column("hash").to_numpy(), rows.column("window").combine_chunks()
+        new = np.ones(len(hashes), dtype=bool)
+        if len(hashes) > 1:
+            same = pc.equal(text.slice(1), text.slice(0, len(text) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+            new[1:] = ~same | (hashes[1:] != hashes[:-1])
+        at = np.flatnonzero(new)
+        items = rows.column("item").combine_chunks().dictionary_encode()
+        self.names, self.items = items.dictionary, items.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        self.first = np.append(at, len(hashes))  # of each window's items, and the total last
+        self.hashes = hashes[at].view(np.uint64)
+        order = np.argsort(self.hashes, kind="stable")  # signed order isn't unsigned order
+        self.hashes, self.number = self.hashes[order], order.astype(np.int32)
+        self.text = text.take(pa.array(at))
+
+    def items_of(self, place: int, window: bytes) -> np.ndarray | None:
+        """Numbers of the items that have that window, if it is one of those that share the hash at that place."""
+        at = place
+        while at < len(self.hashes) and self.hashes[at] == self.hashes[place]:
+            k = self.number[at]
+            if self.text[k].as_buffer() == window:
+                return self.items[self.first[k] : self.first[k + 1]]
+            at += 1
+        return None
+
+
 class _Block:
-    """A block's windows by size: sorted hashes, and the window and items of each."""
+    """A block's windows by size."""
 
-    def __init__(self, rows: list):
-        by: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        for r in rows:
-            by.setdefault(r["size"], {}).setdefault(r["hash"], {}).setdefault(r["window"].encode(), set()).add(r["item"])
-        self.sizes = {n: (np.array(sorted(t), np.int64).view(np.uint64), t) for n, t in by.items()}
-        for n, (hashes, t) in self.sizes.items():
-            self.sizes[n] = np.sort(hashes), t
+    def __init__(self, rows: pa.Table):
+        sizes = rows.column("size").to_numpy()
+        self.sizes = {int(n): _Windows(rows.filter(pa.array(sizes == n)).select(["item", "hash", "window"])) for n in np.unique(sizes)}
 
 
 def _scan(block, with_state: bool):
@@ -69,11 +97,11 @@ def _scan(block, with_state: bool):
                 count = np.diff(words.first)
                 n_words.append(count)
                 found: dict[int, tuple[list, set]] = {}
-                for n, (hashes, table) in known.sizes.items():
+                for n, table in known.sizes.items():
                     docs, got = sh.windows(words, n, short=False)
-                    at = np.searchsorted(hashes, got)
-                    at[at == len(hashes)] = 0
-                    hits = np.flatnonzero(hashes[at] == got)
+                    at = np.searchsorted(table.hashes, got)
+                    at[at == len(table.hashes)] = 0
+                    hits = np.flatnonzero(table.hashes[at] == got)
                     if not len(hits):
                         continue
                     # windows stand in order of documents; a document's first is at its first word
@@ -84,15 +112,19 @@ def _scan(block, with_state: bool):
                         a = h - int(before[d])
                         w = int(words.first[d]) + a
                         window = b" ".join(words.data[words.start[w + k] : words.end[w + k]].tobytes() for k in range(n))
-                        items = table[int(got[h : h + 1].view(np.int64)[0])].get(window)
-                        if items:
-                            spans, names = found.setdefault(d, ([], set()))
+                        items = table.items_of(int(at[h]), window)
+                        if items is not None:
+                            spans, names = found.setdefault(d, ([], {}))
                             spans.append((a, a + n))
-                            names |= items
+                            names.setdefault(n, []).append(items)
                 for i in range(high - low):
-                    spans, names = found.get(i, ((), ()))
+                    spans, names = found.get(i, ((), {}))
                     spans_out.append([{"low": a, "high": b} for a, b in spans])
-                    items_out.append([x for x in names if x is not None])
+                    met: set[str] = set()
+                    for n, items in names.items():
+                        some = np.unique(np.concatenate(items))
+                        met.update(known.sizes[n].names.take(pa.array(some[some >= 0])).to_pylist())
+                    items_out.append(list(met))
             if with_state:
                 for i, (spans, names) in enumerate(zip(batch.column("larkspur_spans").to_pylist(), batch.column("larkspur_items").to_pylist())):
                     spans_out[i] += spans
@@ -115,29 +147,44 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 10, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (all by default), each row once, with n_words (long), spans (array of word ranges
-    low..high, merged, that benchmark windows cover) and items (array of the ids, as text, of the items found).
+_MARKS = [
+    T.StructField("larkspur_n", T.LongType()),
+    T.StructField("larkspur_spans", T.ArrayType(T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())]))),
+    T.StructField("larkspur_items", T.ArrayType(T.StringType())),
+]
 
-    Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F], with A-Z lower-cased. An item's windows are its runs of
-    `window` consecutive words; an item of fewer words, but not none, is one window. Every hash that is met is
-    compared word by word. Null texts have no words; items without an id count for spans, but are left out of items; repeated rows come back
-    as often as they are there. An empty benchmark contaminates nothing.
-    """
+
+def _marked(docs: DataFrame, benchmark: DataFrame, text_column: str, item_column: str, item_text_column: str, window: int, columns: list[str]) -> DataFrame:
+    """The given columns of docs, its texts as larkspur_text, and what was found as larkspur_n, larkspur_spans, larkspur_items."""
     spark = docs.sparkSession
     given = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text"))
     windows = cut(bounded(given).mapInArrow(trimmed(_benchmark_windows(window)), "item string, size int, hash long, window string").distinct(), "benchmark-windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    columns = columns or docs.columns
     rows = docs.select(*columns, F.col(text_column).cast("string").alias("larkspur_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    schema = T.StructType([*rows.schema.fields, *_MARKS])
     for k in range(blocks):
-        # a block's size is bounded, whatever the benchmark's
-        block = spark.sparkContext.broadcast(_Block(windows.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k).collect()))
-        rows = bounded(rows).mapInArrow(trimmed(_scan(block, k > 0)), schema + ", larkspur_n long, larkspur_spans array<struct<low:int,high:int>>, larkspur_items array<string>")
+        # pairs are dealt, so a block is bounded however large the benchmark is and however many items share a window
+        block = spark.sparkContext.broadcast(_Block(windows.where(F.pmod(F.xxhash64("hash", "item"), F.lit(blocks)) == k).toArrow()))
+        rows = bounded(rows).mapInArrow(trimmed(_scan(block, k > 0)), schema)
         if k + 1 < blocks:
             rows = cut(rows, f"contamination-{k}")
-    return rows.drop("larkspur_text").withColumnsRenamed({"larkspur_n": "n_words", "larkspur_spans": "spans", "larkspur_items": "items"})
+    return rows
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 10, columns: list[str] | None = None) -> DataFrame:
+    """The given columns of docs (all by default), each row once, with n_words (long), spans (array of word ranges
+    low..high, merged, that benchmark windows cover) and items (array of the ids, as text, of the items found).
+
+    Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F], with A-Z lower-cased. An item's windows are its runs of
+    `window` consecutive words; an item of fewer words, but not none, is one window. Every hash that is met is
+    compared word by word. Null texts have no words; items without an id count for spans, but are left out of items; repeated
+    rows come back as often as they are there, and repeated items count once. A very long text is scanned whole, in one
+    task. Columns of docs that are named as the three results are left out for these. An empty benchmark contaminates
+    nothing, and an empty table gives an empty result.
+    """
+    names = {"larkspur_n": "n_words", "larkspur_spans": "spans", "larkspur_items": "items"}
+    columns = [c for c in columns or docs.columns if c.lower() not in names.values()]
+    return _marked(docs, benchmark, text_column, item_column, item_text_column, window, columns).drop("larkspur_text").withColumnsRenamed(names)
 
 
 def hit_words(spans: str = "spans"):
@@ -145,10 +192,13 @@ def hit_words(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["high"] - s["low"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **names) -> DataFrame:
-    """The rows of docs that no benchmark window occurs in, with the columns of docs."""
-    marked = find_contamination(docs, benchmark, text_column, **names)
-    return marked.where(F.size("spans") == 0).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 10) -> DataFrame:
+    """The rows of docs that no benchmark window occurs in, with all columns of docs, whatever their names.
+
+    Rows of null or empty texts stay; repeated rows stay or go alike. An empty benchmark drops nothing.
+    """
+    marked = _marked(docs, benchmark, text_column, item_column, item_text_column, window, docs.columns)
+    return marked.where(F.size("larkspur_spans") == 0).select(*docs.columns)
 
 
 def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,12 +220,16 @@ def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **names) -> DataFrame:
-    """All rows of docs, with the words that benchmark windows cover, and what stands between them, cut out."""
-    marked = find_contamination(docs, benchmark, text_column, **names)
-    renamed = marked.select(*[F.col(c) for c in docs.columns if c != text_column], F.col(text_column).cast("string").alias("larkspur_text"), F.col("spans").alias("larkspur_spans"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema.fields)
-    return bounded(renamed).mapInArrow(trimmed(_without_spans), schema).withColumnRenamed("larkspur_text", text_column).select(*docs.columns)
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 10) -> DataFrame:
+    """All rows of docs, with the words that benchmark windows cover, and what stands between them, cut out.
+
+    The columns are those of docs, whatever their names, with the text as a string. Null texts stay null, and repeated rows are all
+    treated alike. What is left may by chance form a window again that wasn't there before.
+    """
+    marked = _marked(docs, benchmark, text_column, item_column, item_text_column, window, [c for c in docs.columns if c != text_column])
+    rows = marked.select(*[c for c in docs.columns if c != text_column], "larkspur_text", "larkspur_spans")
+    schema = T.StructType([*rows.schema.fields])
+    return bounded(rows).mapInArrow(trimmed(_without_spans), schema).withColumnRenamed("larkspur_text", text_column).select(*docs.columns)
 
 
 def contamination_by_hand(text: str | None, items: dict[str, str | None], window: int = 10) -> tuple[int, int, int, str]:
