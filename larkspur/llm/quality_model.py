@@ -15,16 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.storage import bounded, cut, trimmed
-from larkspur.llm.textkit import WHITESPACE, chunks, find_words, lists, mix
+from larkspur.llm.labelled import labelled_texts
+from larkspur.llm.storage import bounded, trimmed
+from larkspur.llm.textkit import WHITESPACE, chunks, find_words, mix
 
 #: Hashed features.
 BITS = 18
-#: Most labelled rows of each class that are learnt from, chosen by a hash of their ids.
+#: Most labelled rows of each class that are learnt from, chosen by a hash of their ids. Each is learnt from whole.
 SAMPLE = 2000
-#: Most n-gram indicators of a learnt text; a longer text is learnt from that many, chosen by hash.
-LEARNT_FEATURES = 4096
 
 _LOWER, _UPPER, _DIGIT, _POINT, _SIGN, _WIDE, _SAME = range(1, 8)
 _SHAPE = np.full(256, _SIGN, dtype=np.uint8)
@@ -71,17 +71,6 @@ def ngram_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def _feature_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, high, data, offsets in chunks(batch.column(1)):
-            doc, feature = ngram_features(data, offsets)
-            first = np.searchsorted(doc, np.arange(high - low + 1))
-            parts = [feature[a:b] for a, b in zip(first[:-1], first[1:])]
-            parts = [p if len(p) <= LEARNT_FEATURES else np.sort(p[np.argsort(mix(p.astype(np.uint64)))[:LEARNT_FEATURES]]) for p in parts]
-            bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists(np.concatenate(parts) if parts else [], bounds, pa.int32())], names=["label", "features"])
-
-
 @dataclass
 class Model:
     """A weight for each feature (ratios included), and the logistic curve over margins."""
@@ -174,22 +163,19 @@ def fit(features: list[np.ndarray], label: np.ndarray, smoothing: float = 1.0, p
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model of at most `sample` labelled texts of each class, those whose ids hash lowest.
+    """A model of at most `sample` labelled texts of each class, those whose ids hash lowest, each learnt from whole.
 
-    Rows without an id, text or label are left out. With labels of one class, or none, every text gets the same score.
+    Which rows are left out, and what counts where ids or labels are repeated, labelled_texts() says. With labels of one class, or
+    none, also of empty tables, every text gets the same score. The driver holds the sample: its texts, and 4 bytes for
+    each distinct n-gram of a text.
     """
-    marked = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("label"))
-    chosen = None
-    for k in (0, 1):
-        some = marked.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample)
-        chosen = some if chosen is None else chosen.unionAll(some)
-    chosen = F.broadcast(cut(chosen, "labelled"))  # 2 * sample rows at most
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    rows = bounded(texts).join(chosen, "id").select("label", "text", "id").mapInArrow(trimmed(_feature_lists), "label int, features array<int>")
-    table = rows.limit(4 * sample).toArrow()
-    order = np.argsort(mix(np.array([hash(tuple(f[:8])) + len(f) for f in table.column("features").to_pylist()], dtype=np.int64).view(np.uint64))) if table.num_rows else np.zeros(0, int)
-    features = [np.array(table.column("features")[int(i)].values.to_numpy(zero_copy_only=False), dtype=np.int64) for i in order]
-    return fit(features, table.column("label").to_numpy()[order].astype(np.int64))
+    column, label, _ = labelled_texts(docs, labels, id_column, text_column, label_column, sample)
+    features = []
+    for low, high, data, offsets in chunks(column):
+        doc, feature = ngram_features(data, offsets)
+        first = np.searchsorted(doc, np.arange(high - low + 1))
+        features += [feature[a:b].astype(np.int32) for a, b in zip(first[:-1], first[1:])]
+    return fit(features, label)
 
 
 def _score(model, text: int):
@@ -200,20 +186,23 @@ def _score(model, text: int):
                 scores[low:high] = model.value.scores(data, offsets)
             columns = [c for k, c in enumerate(batch.columns) if k != text]
             names = [n for k, n in enumerate(batch.schema.names) if k != text]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*names, "larkspur_score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, model, text_column: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (all by default), each row once, and score (double, 0 to 1).
+def score_texts(docs: DataFrame, model, text_column: str = "text", columns: list[str] | None = None, score_column: str = "score") -> DataFrame:
+    """The given columns of docs (all by default), each row once, repeated ones too, and score_column (double, 0 to 1).
 
-    model: anything with scores(bytes, offsets); its size doesn't depend on docs. Null and empty texts get a score too.
+    model: anything with scores(bytes, offsets); its size doesn't depend on docs. Null and empty texts get a score too, and
+    a very long text is scored whole. A column of docs that is named as score_column is left out for the score; name
+    another to keep it. An empty table gives an empty result.
     """
-    columns = columns or docs.columns
+    columns = [c for c in columns or docs.columns if c.lower() != score_column.lower()]
     rows = docs.select(*columns, F.col(text_column).cast("string").alias("larkspur_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return bounded(rows).mapInArrow(trimmed(_score(docs.sparkSession.sparkContext.broadcast(model), len(columns))), schema + ", score double")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("larkspur_score", T.DoubleType())])
+    scored = bounded(rows).mapInArrow(trimmed(_score(docs.sparkSession.sparkContext.broadcast(model), len(columns))), schema)
+    return scored.withColumnRenamed("larkspur_score", score_column)
 
 
 def held_out(id_column: str = "doc_id"):

@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text's words, in overlapping windows, are the steps. A step's input is the sum of its word's embedding and
-of the embeddings of the word's character n-grams; both are rows of hashed tables. Two gated recurrent
+of the mean embedding of the word's character n-grams; both are rows of hashed tables. Two gated recurrent
 units read the window, one from either end; attention over their states pools it, and a logistic unit scores
 it. A text's score is that of its worst window. Training is by Adam on windows of labelled texts; in a
 toxic text only the window that scores worst counts as toxic, as the label doesn't say where it is.
@@ -9,57 +9,74 @@ toxic text only the window that scores worst counts as toxic, as the label doesn
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bounded, cut, trimmed
-from larkspur.llm.textkit import NON_ALPHANUMERIC, Words, chunks, find_words, mix, powers
+from larkspur.llm.labelled import labelled_texts
+from larkspur.llm.textkit import NON_ALPHANUMERIC, Words, chunks, find_words, mix, powers, ranges
 
-#: Words of a window, and from one window's start to the next's.
-WINDOW, STRIDE = 24, 20
+#: Words of a window, and from one window's start to the next's, when texts are scored and when they are learnt from.
+WINDOW, STRIDE, LEARNT_STRIDE = 24, 12, 20
 #: Widths of the inputs and of each direction's state, and rows of the two hashed tables.
 WIDTH, STATE, WORD_ROWS, CHAR_ROWS = 8, 8, 1 << 14, 1 << 15
-#: Most labelled rows of each class that are learnt from, chosen by a hash of their ids, and most words of each.
-SAMPLE, LEARNT_WORDS = 2000, 1500
-#: Lengths of the character n-grams at a word's front, and of those anywhere.
-_FRONT, _INSIDE = (4, 5, 6), (3,)
+#: Most labelled rows of each class that are learnt from, chosen by a hash of their ids. Each is learnt from whole.
+SAMPLE = 2000
+#: Lengths, in bytes, of the character n-grams, which are taken all over a word.
+_GRAMS = (3, 4, 5)
 
 
-def word_keys(words: Words) -> np.ndarray:
-    """Rows of the tables for each word: one of the word table, then those of its character n-grams; -1 for none."""
-    up, down = powers(len(words.data) + 1)
-    total = np.empty(len(words.data) + 1, dtype=np.uint64)
+@dataclass
+class Lexicon:
+    """Distinct words: the row of each in the word table, and the rows of its character n-grams, one word's after another's."""
+
+    word: np.ndarray
+    grams: np.ndarray
+    first: np.ndarray  # of each word's n-grams, and the total last
+
+    def some(self, which: np.ndarray) -> Lexicon:
+        counts = np.diff(self.first)[which]
+        at = np.repeat(self.first[which], counts) + ranges(counts)
+        return Lexicon(self.word[which], self.grams[at], np.concatenate(([0], np.cumsum(counts))))
+
+    def share(self) -> np.ndarray:
+        """What each n-gram counts in the mean of its word's."""
+        counts = np.diff(self.first)
+        return np.repeat(1 / np.maximum(counts, 1), counts).astype(np.float32)[:, None]
+
+
+def lexicon(words: Words) -> tuple[Lexicon, np.ndarray]:
+    """The distinct words, and which of them each word is."""
+    _, at, number = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    data, start, end = words.data, words.start[at], words.end[at]
+    up, down = powers(len(data) + 1)
+    total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * up[: len(words.data)], out=total[1:])
-
-    def grams(start: np.ndarray, end: np.ndarray, salt: int, rows: int) -> np.ndarray:
-        return (mix((total[end] - total[start]) * down[start] + np.uint64(salt)) % np.uint64(rows)).astype(np.int32)
-
-    columns = [grams(words.start, words.end, 1, WORD_ROWS)]
-    size = words.end - words.start
-    for n in _FRONT:
-        end = np.minimum(words.start + n, words.end)
-        columns.append(np.where(size >= n, grams(words.start, end, 100 + n, CHAR_ROWS), -1))
-    for n in _INSIDE:
-        for k in range(4):
-            start = np.minimum(words.start + k, words.end)
-            end = np.minimum(start + n, words.end)
-            columns.append(np.where(size >= n + k, grams(start, end, 200 + n, CHAR_ROWS), -1))
-    return np.stack(columns, axis=1)
-
-
-def window_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, first word) of all windows: STRIDE apart, the last one up to the text's end; texts without words have none."""
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+
+    def rows(low: np.ndarray, high: np.ndarray, salt: int, size: int) -> np.ndarray:
+        return (mix((total[high] - total[low]) * down[low] + np.uint64(salt)) % np.uint64(size)).astype(np.int32)
+
+    owners, grams = [], []
+    for n in _GRAMS:
+        counts = np.maximum(end - start - n + 1, 0)
+        owner = np.repeat(np.arange(len(start)), counts)
+        low = start[owner] + ranges(counts)
+        owners.append(owner)
+        grams.append(rows(low, low + n, 100 + n, CHAR_ROWS))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    first = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(start)))))
+    return Lexicon(rows(start, end, 1, WORD_ROWS), np.concatenate(grams)[order], first), number.reshape(-1)
+
+
+def window_starts(first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word) of all windows: stride apart, the last one up to the text's end; texts without words have none."""
     count = np.diff(first)
-    n = np.where(count > 0, np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1), 0)
+    n = np.where(count > 0, np.maximum(1, -(-(count - WINDOW) // stride) + 1), 0)
     doc = np.repeat(np.arange(len(count)), n)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    return doc, first[doc] + k * STRIDE
+    return doc, first[doc] + ranges(n) * stride
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,10 +101,14 @@ class Network:
             p |= {f"x{d}": make(WIDTH, 3 * STATE, by=0.4), f"b{d}": np.zeros(3 * STATE, np.float32), f"h{d}": make(STATE, 3 * STATE, by=0.3)}
         return cls(p | {"attend": make(2 * STATE, STATE, by=0.4), "query": make(STATE, by=0.4), "out": make(2 * STATE, by=0.4), "bias": np.full(1, -1, np.float32)})
 
-    def embed(self, keys: np.ndarray) -> np.ndarray:
-        out = self.p["word"][keys[:, 0]]
-        for j in range(1, keys.shape[1]):
-            out = out + np.where(keys[:, j, None] >= 0, self.p["char"][keys[:, j]], 0)
+    def embed(self, lex: Lexicon) -> np.ndarray:
+        """The input that each word of lex makes."""
+        out = self.p["word"][lex.word]
+        has, share = np.flatnonzero(np.diff(lex.first)), lex.share()
+        for k in range(0, len(has), 1 << 14):
+            some = has[k : k + (1 << 14)]
+            low, high = lex.first[some[0]], lex.first[some[-1] + 1]
+            out[some] += np.add.reduceat(self.p["char"][lex.grams[low:high]] * share[low:high], lex.first[some] - low)
         return out
 
     def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
@@ -118,20 +139,24 @@ class Network:
             keep |= {"tapes": tapes, "states": states, "a": a, "weight": weight, "pooled": pooled}
         return pooled @ self.p["out"] + self.p["bias"][0]
 
-    def logits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(text, logit) of all windows of the texts."""
-        doc, start = window_starts(words.first)
-        if not len(doc):
-            return doc, np.zeros(0, np.float32)
-        x = self.embed(word_keys(words))
+    def window_logits(self, x: np.ndarray, number: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Logits of windows (text, first word) of texts whose words are given as rows of x."""
         projected = {d: x @ self.p[f"x{d}"] + self.p[f"b{d}"] for d in "fb"}
         out, size = np.empty(len(doc), np.float32), 2048
         for k in range(0, len(doc), size):
             at = start[k : k + size] + np.arange(WINDOW)[:, None]
-            inside = at < words.first[doc[k : k + size] + 1]
-            at = np.where(inside, at, 0)
+            inside = at < first[doc[k : k + size] + 1]
+            at = number[np.where(inside, at, 0)]
             out[k : k + size] = self.forward({d: projected[d][at] for d in "fb"}, inside[:, :, None].astype(np.float32))
-        return doc, out
+        return out
+
+    def logits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(text, logit) of all windows of the texts."""
+        doc, start = window_starts(words.first)
+        if not len(doc):
+            return doc, np.zeros(0, np.float32)
+        lex, number = lexicon(words)
+        return doc, self.window_logits(self.embed(lex), number, words.first, doc, start)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The score of each text's worst window; a text without words scores as the least a window could."""
@@ -140,11 +165,13 @@ class Network:
         np.maximum.at(worst, doc, logit.astype(np.float64))
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
 
-    def gradient(self, keys: np.ndarray, inside: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradients for windows: keys (steps, windows, n-grams), inside (steps, windows)."""
-        p, (steps, n, _) = self.p, keys.shape
+    def gradient(self, lex: Lexicon, at: np.ndarray, inside: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients for windows: at (steps, windows), numbers of words in lex; inside, of the same shape."""
+        p, (steps, n) = self.p, at.shape
         mask = inside[:, :, None].astype(np.float32)
-        x = self.embed(keys.reshape(steps * n, -1)).reshape(steps, n, WIDTH)
+        used, number = np.unique(at, return_inverse=True)
+        lex, number = lex.some(used), number.reshape(-1)
+        x = self.embed(lex)[number].reshape(steps, n, WIDTH)
         kept: dict = {}
         logit = self.forward({d: x @ p[f"x{d}"] + p[f"b{d}"] for d in "fb"}, mask, kept)
         prob = _sigmoid(logit)
@@ -179,12 +206,13 @@ class Network:
             g[f"x{d}"] = np.einsum("tnj,tnk->jk", x, d_in)
             d_x += d_in @ p[f"x{d}"].T
         d_x = (d_x * mask).reshape(-1, WIDTH)
-        keys = keys.reshape(steps * n, -1)
-        for name, columns in (("word", keys[:, :1]), ("char", keys[:, 1:])):
-            at = columns.reshape(-1)
-            some = at >= 0
-            rows = np.repeat(d_x, columns.shape[1], axis=0)[some]
-            g[name] = np.stack([np.bincount(at[some], rows[:, k], minlength=len(p[name])) for k in range(WIDTH)], axis=1).astype(np.float32)
+
+        def summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+            return np.stack([np.bincount(rows, values[:, k], minlength=size) for k in range(WIDTH)], axis=1).astype(np.float32)
+
+        d_x = summed(number, d_x, len(used))
+        g["word"] = summed(lex.word, d_x, WORD_ROWS)
+        g["char"] = summed(lex.grams, np.repeat(d_x, np.diff(lex.first), axis=0) * lex.share(), CHAR_ROWS)
         return loss, g
 
 
@@ -205,8 +233,8 @@ class Adam:
             self.p[k][at] -= (self.rate * fix) * self.m[k][at] / (np.sqrt(self.v[k][at]) + 1e-7)
 
 
-def fit(keys: list[np.ndarray], label: np.ndarray, share: float | None = None, epochs: int = 9, batch: int = 192, seed: int = 3) -> Network:
-    """A network learnt from texts given as their words' keys.
+def fit(lex: Lexicon, number: np.ndarray, first: np.ndarray, label: np.ndarray, share: float | None = None, epochs: int = 9, batch: int = 192, seed: int = 3) -> Network:
+    """A network learnt from texts: number says which word of lex each of their words is, first where each text begins.
 
     Every epoch but the first few, the window of each text that scores worst at its beginning stands for the
     text, and with it the next worst windows of clean texts. Every eighth text is kept apart; a logistic curve
@@ -214,61 +242,48 @@ def fit(keys: list[np.ndarray], label: np.ndarray, share: float | None = None, e
     all, by default as among the given.
     """
     net, rng = Network.new(seed), np.random.default_rng(seed)
-    if not len(keys) or len(np.unique(label)) < 2:
+    texts = len(label)
+    if not len(number) or len(np.unique(label)) < 2:
         only = float(label.mean()) if len(label) else 0.0
         net.p["out"][:] = 0
         net.p["bias"][:] = np.log((only + 0.05) / (1.05 - only))
         return net
-    first = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-    flat = np.concatenate(keys)
-    doc, start = window_starts(first)
+    doc, start = window_starts(first, LEARNT_STRIDE)
     steps = np.arange(WINDOW)[:, None]
-    apart = (np.arange(len(keys)) % 8 == 0) if len(keys) >= 64 else np.zeros(len(keys), dtype=bool)
+    apart = (np.arange(texts) % 8 == 0) if texts >= 64 else np.zeros(texts, dtype=bool)
     learnt = np.flatnonzero(~apart[doc])
     adam = Adam(net.p)
     # few texts are met more often, in smaller batches
-    batch = min(batch, max(32, len(keys) // 4))
-    epochs = max(epochs, -(-400 * batch // (4 * len(keys))))
-
-    def gather(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = start[some] + steps
-        inside = at < first[doc[some] + 1]
-        return flat[np.where(inside, at, 0)], inside
-
-    def all_logits() -> np.ndarray:
-        out = np.empty(len(doc), np.float32)
-        for k in range(0, len(doc), 2048):
-            d = doc[k : k + 2048]
-            low, high = start[k], first[d[-1] + 1]
-            x = net.embed(flat[low:high])
-            at = start[k : k + 2048] + steps
-            inside = at < first[d + 1]
-            at = np.where(inside, at - low, 0)
-            out[k : k + 2048] = net.forward({d: (x @ net.p[f"x{d}"] + net.p[f"b{d}"])[at] for d in "fb"}, inside[:, :, None].astype(np.float32))
-        return out
+    batch = min(batch, max(32, texts // 4))
+    epochs = max(epochs, -(-400 * batch // (4 * texts)))
 
-    def worst(logit: np.ndarray) -> np.ndarray:
+    def worst(doc: np.ndarray, logit: np.ndarray) -> np.ndarray:
         order = np.lexsort((-logit, doc))
         return order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]
 
     for epoch in range(epochs):
         if epoch < max(2, epochs // 4):  # nothing is known yet: windows at random, several of each text, all with their text's label
-            some = rng.permutation(learnt)[: 12 * len(keys)]
+            some = rng.permutation(learnt)[: 12 * texts]
         else:
-            logit = all_logits()
+            logit = net.window_logits(net.embed(lex), number, first, doc, start)
             clean = learnt[label[doc[learnt]] == 0]
-            clean = clean[np.argsort(-logit[clean])[: 2 * len(keys)]]
-            some = worst(logit)
-            some = rng.permutation(np.unique(np.concatenate((some[~apart[doc[some]]], clean, rng.choice(learnt[label[doc[learnt]] == 0], len(keys))))))
+            clean = clean[np.argsort(-logit[clean])[: 2 * texts]]
+            some = worst(doc, logit)
+            some = rng.permutation(np.unique(np.concatenate((some[~apart[doc[some]]], clean, rng.choice(learnt[label[doc[learnt]] == 0], texts)))))
         adam.rate = 0.01 if epoch < epochs - 3 else 0.002
         for k in range(0, len(some), batch):
             part = some[k : k + batch]
             y = label[doc[part]].astype(np.float32)
-            _, g = net.gradient(*gather(part), y, np.ones(len(part), np.float32))
+            at = start[part] + steps
+            inside = at < first[doc[part] + 1]
+            _, g = net.gradient(lex, number[np.where(inside, at, 0)], inside, y, np.ones(len(part), np.float32))
             adam.step(g)
-    logit = all_logits()
-    judged = worst(logit)
-    judged = judged[apart[doc[judged]] if apart.any() else slice(None)]
+    # the curve is drawn over windows as they are scored
+    doc, start = window_starts(first)
+    if apart.any():
+        doc, start = doc[apart[doc]], start[apart[doc]]
+    logit = net.window_logits(net.embed(lex), number, first, doc, start)
+    judged = worst(doc, logit)
     y, given = label[doc[judged]], label.mean()
     share = given if share is None else share
     net.slope, net.shift = _curve(logit[judged].astype(np.float64), y, np.where(y == 1, share / given, (1 - share) / (1 - given)))
@@ -292,36 +307,26 @@ def _curve(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(a, 1e-2)), float(b)
 
 
-def _learnt_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, high, data, offsets in chunks(batch.column(1)):
-            words = find_words(data, offsets, NON_ALPHANUMERIC, lower=True)
-            keys, out = word_keys(words), []
-            for i in range(high - low):
-                a, b = int(words.first[i]), int(words.first[i + 1])
-                # of a longer text, the sample keeps a run of words from a place that its words decide
-                skip = int(keys[a:b, 0].sum()) % (b - a - LEARNT_WORDS + 1) if b - a > LEARNT_WORDS else 0
-                out.append(keys[a + skip : min(b, a + skip + LEARNT_WORDS)].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(out, pa.binary())], names=["label", "keys"])
-
-
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE) -> Network:
-    """A network of at most `sample` labelled texts of each class, those whose ids hash lowest, and LEARNT_WORDS words of each.
+    """A network of at most `sample` labelled texts of each class, those whose ids hash lowest, each learnt from whole.
 
-    Rows without an id, text or label are left out. With labels of one class, or none, every text gets about the same score.
+    Which rows are left out, and what counts where ids or labels are repeated, labelled_texts() says. With labels of one class, or
+    none, also of empty tables, every text gets about the same score. The driver holds the sample: its texts, and about
+    8 bytes for each of their words.
     """
-    marked = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("label"))
-    chosen = None
-    for k in (0, 1):
-        some = marked.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample)
-        chosen = some if chosen is None else chosen.unionAll(some)
-    chosen = F.broadcast(cut(chosen, "labelled"))  # 2 * sample rows at most
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    table = bounded(texts).join(chosen, "id").select("label", "text").mapInArrow(trimmed(_learnt_keys), "label int, keys binary").limit(4 * sample).toArrow()
-    width = 1 + len(_FRONT) + 4 * len(_INSIDE)
-    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    rows = sorted(zip(table.column("keys").to_pylist(), table.column("label").to_pylist()))  # the same order whatever task came first
-    rows = [(np.frombuffer(k, "<i4").reshape(-1, width), y) for k, y in rows if k]
-    order = np.random.default_rng(1).permutation(len(rows))
-    share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    return fit([rows[i][0] for i in order], np.array([rows[i][1] for i in order], dtype=np.int64), share)
+    column, label, share = labelled_texts(docs, labels, id_column, text_column, label_column, sample)
+    lexicons, numbers, counts, words_before = [], [], [], 0
+    for _, _, data, offsets in chunks(column):
+        words = find_words(data, offsets, NON_ALPHANUMERIC, lower=True)
+        counts.append(np.diff(words.first))
+        if len(words.start):
+            lex, number = lexicon(words)
+            lexicons.append(lex)
+            numbers.append((number + words_before).astype(np.int32))
+            words_before += len(lex.word)
+    if not lexicons:
+        return fit(Lexicon(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)), np.zeros(0, np.int32), np.zeros(1, np.int64), label)
+    grams = np.concatenate([x.grams for x in lexicons])
+    first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x.first) for x in lexicons]))))
+    lex = Lexicon(np.concatenate([x.word for x in lexicons]), grams, first)
+    return fit(lex, np.concatenate(numbers), np.concatenate(([0], np.cumsum(np.concatenate(counts)))), label, share)

@@ -234,21 +234,23 @@ def test_toxicity(spark, docs, none):
 
 def test_network_gradient_is_that_of_its_loss():
     net, rng = toxicity.Network.new(2), np.random.default_rng(0)
-    net.p["word"] += rng.standard_normal(net.p["word"].shape).astype(np.float32) * 0.3
-    keys = rng.integers(0, 50, (toxicity.WINDOW, 6, 8)).astype(np.int32)
-    keys[:, :, 3] = -1
+    for name in ("word", "char"):
+        net.p[name] += rng.standard_normal(net.p[name].shape).astype(np.float32) * 0.3
+    data = np.frombuffer(words_of(50, 6).encode() + b" no ab", np.uint8)
+    lex, number = toxicity.lexicon(toxicity.find_words(data, np.array([0, len(data)]), toxicity.NON_ALPHANUMERIC, True))
+    at = rng.choice(number, (toxicity.WINDOW, 6))
     inside = np.ones((toxicity.WINDOW, 6), dtype=bool)
     inside[10:, 2] = False
     y, weight = np.array([0, 1, 1, 0, 1, 0], np.float32), np.ones(6, np.float32)
-    _, g = net.gradient(keys, inside, y, weight)
-    for name in ("hf", "xb", "attend", "query", "out", "word"):
-        at = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
-        old, losses = net.p[name][at], []
+    _, g = net.gradient(lex, at, inside, y, weight)
+    for name in ("hf", "xb", "attend", "query", "out", "word", "char"):
+        at_ = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
+        old, losses = net.p[name][at_], []
         for step in (0.01, -0.01):
-            net.p[name][at] = old + np.float32(step)
-            losses.append(net.gradient(keys, inside, y, weight)[0])
-        net.p[name][at] = old
-        assert (losses[0] - losses[1]) / 0.02 == pytest.approx(g[name][at], rel=0.05, abs=2e-4)
+            net.p[name][at_] = old + np.float32(step)
+            losses.append(net.gradient(lex, at, inside, y, weight)[0])
+        net.p[name][at_] = old
+        assert (losses[0] - losses[1]) / 0.02 == pytest.approx(g[name][at_], rel=0.05, abs=2e-4)
 
 
 def test_every_word_is_in_a_window():
