@@ -177,13 +177,37 @@ def test_items_without_an_id_contaminate(spark):
     decontamination.BLOCK_WINDOWS = 500_000
 
 
-def test_line_dedup(spark, docs, none):
-    rows = [(k, f"menu \nhome\nown {k}\n\nmenu", "a") for k in range(30)] + [(100 + k, f"menu\nown {k}", "b") for k in range(5)] + [(200, None, "a"), (201, "", None), (202, "menu", None)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: (r.text, r.lines_before, r.lines_dropped) for r in line_dedup.drop_boilerplate(frame, max_ratio=0.5).collect()}
-    assert got[3] == ("own 3\n", 5, 3) and got[103] == ("menu\nown 3", 2, 0) and got[200] == (None, 0, 0) and got[201] == ("", 1, 0) and got[202] == ("menu", 1, 0)
-    assert line_dedup.drop_boilerplate(docs).count() == len(odd_documents())
-    assert line_dedup.drop_boilerplate(none).collect() == []
+def lines_by_hand(rows, max_ratio, least=3):
+    """{row: (text, lines, dropped)} of rows (text, host) by plain Python."""
+    on, pages = {}, {}
+    bare = lambda x: x.strip(" \t\n\v\f\r")
+    for text, host in rows:
+        pages[host] = pages.get(host, 0) + 1
+        for line in {bare(x) for x in (text or "").split("\n")} - {""}:
+            on[host, line] = on.get((host, line), 0) + 1
+    out = []
+    for text, host in rows:
+        lines = text.split("\n") if text is not None else []
+        kept = [x for x in lines if not (on.get((host, bare(x)), 0) >= least and on[host, bare(x)] > max_ratio * pages[host])]
+        out.append((None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+def test_line_dedup(spark, docs, none, monkeypatch):
+    rows = [(f"menu \nhome\nown {k}\n\nmenu", "a") for k in range(30)] + [(f"menu\nown {k}", "b") for k in range(5)] + [(f"menu\nown {k}", "c") for k in range(2)]
+    rows += [(None, "a"), ("", None), ("menu", None), ("menu", None), ("x\nmenu", None), ("own 3\nmenu", "b"), ("own 3\nmenu", "b"), ("\n".join(["home", "menu"] * 5000 + [words_of(3000, 4)]), "a")]
+    frame = spark.createDataFrame([(k, *r, "mine", 7) for k, r in enumerate(rows)], "doc_id long, text string, source string, lines_before string, score long").repartition(3)
+    for most in (200_000, 0):  # also where lines are too many to be broadcast
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        monkeypatch.setattr(line_dedup, "HOT_KEYS", 10)
+        for ratio in (0.5, 0.05):
+            got = line_dedup.drop_boilerplate(frame, max_ratio=ratio)
+            assert got.columns == ["doc_id", "text", "source", "score", "lines_before", "lines_dropped"]
+            assert {r.doc_id: (r.text, r.lines_before, r.lines_dropped) for r in got.collect()} == dict(enumerate(lines_by_hand(rows, ratio)))
+        alone = line_dedup.without_boilerplate(frame, length_column="score")
+        assert alone.schema == frame.schema and {(r.text, r.lines_before) for r in alone.collect()} == {(t, "mine") for t, *_ in lines_by_hand(rows, 0.05)}
+        assert line_dedup.drop_boilerplate(docs).count() == len(odd_documents())
+        assert line_dedup.drop_boilerplate(none).collect() == []
 
 
 def test_license_scan(spark, docs, none):
