@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences.
 
 Each stage takes what its predecessor kept, written as Parquet and reread; all but the last return the
-columns of documents.
+columns of documents, in their order. Very long texts are handled whole, in one task each.
 """
 
 from __future__ import annotations
@@ -11,43 +11,56 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, line_dedup, near_dedup, packing, quality_model
 from larkspur.llm.queries import TOKENIZER, table
-from larkspur.llm.storage import broadcast_if_small, cut
+from larkspur.llm.storage import cut, free_name
 
 #: Least quality score of a document that stays.
 MIN_QUALITY = 0.7
-#: Least pages of a host, of whatever size, that have a line before it can be boilerplate.
-MIN_LINE_PAGES = 3
-#: Most ids of dropped documents that are broadcast (8 bytes each); beyond it the join is shuffled.
-BROADCAST_IDS = 2_000_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learnt from the labels of some of them, doesn't reject."""
-    fair = ~quality_model.held_out()
+    """Documents that the quality classifier, learnt from the labels of some of them, doesn't reject.
+
+    A null or empty text is scored as a text without words, and stays or goes by that; repeated rows stay or go alike. Columns of any names
+    come back as they were. An empty table gives an empty result; without labels of both kinds all texts get the same score.
+    """
+    fair, score = ~quality_model.held_out(), free_name(docs, "larkspur_score")
     model = quality_model.train(docs.where(fair), table(spark, sf_dir, "labels").where(fair))
-    return quality_model.score_texts(docs, model).where(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+    return quality_model.score_texts(docs, model, score_column=score).where(F.col(score) >= MIN_QUALITY).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source."""
-    rows = line_dedup.drop_boilerplate(docs, min_pages=1, min_line_pages=MIN_LINE_PAGES)
-    return rows.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, without the lines that are boilerplate of their source; n_chars is counted anew where lines went.
+
+    A null source is one of its own, null texts stay null, repeated rows are pages of their own, and a text all of whose lines go stays as an
+    empty one. Columns of any names come back as they were. An empty table gives an empty result.
+    """
+    return line_dedup.without_boilerplate(docs, length_column="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group that near duplicates link; documents without an id stay."""
-    found = near_dedup.near_duplicates(docs, shingle_words=5)
-    dropped = cut(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped")
-    return docs.join(broadcast_if_small(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """One document, that of the least id, of each group that near duplicates link.
+
+    Rows without an id, and rows repeated with their id, are linked by their texts as all others, and one row of a group stays. Null, empty and white
+    texts are linked with nothing and stay. Columns of any names come back as they were. An empty table gives an empty result.
+    """
+    return near_dedup.drop_near_duplicates(docs, shingle_words=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
+    """Documents without a window of the benchmark.
+
+    Null and empty texts stay, repeated rows stay or go alike, and items without an id count. Columns of any names come back as they were. An
+    empty table gives an empty result, and an empty benchmark drops nothing.
+    """
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences of 2048 ids."""
+    """The pieces of all documents, in sequences of 2048 ids.
+
+    A null or empty text is the end id alone; rows that repeat, share an id or have none are packed each on its own; other columns are not
+    used. An empty table gives an empty result.
+    """
     return packing.pack_documents(docs, TOKENIZER, capacity=2048)
 
 
@@ -58,7 +71,7 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("best-fit packing", pack),
 ]
-#: A trained classifier isn't SQL; tests hold the operators of the stages against plain Python, but not run() as a whole.
+#: A trained classifier isn't SQL; tests hold every stage, and run() as a whole, against plain Python.
 ORACLE_SQL = None
 
 
