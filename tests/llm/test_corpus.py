@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from larkspur.llm import decontamination, licenses, line_dedup, near_dedup, packing, quality_model, quality_rules, token_files, tokens, toxicity, warc
 from larkspur.llm.components import connected_components
 from larkspur.llm.queries import TOKENIZER
+from larkspur.llm.storage import cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string, key long"
 PROSE = "the quick brown fox jumps over the lazy dog and runs to the river where it is cold and the water of the river is clear"
@@ -138,6 +139,28 @@ def test_texts_without_common_words_go_at_any_length(spark):
     assert all(got[k].kept and got[k].word_distance is None for k in (300, 301))
 
 
+def test_verdicts_are_those_of_plain_python(spark, docs):
+    odd = [(r[1], r[2]) for r in odd_documents()]
+    rows = [(t, g) for k in range(25) for t, g in ((" ".join(f"{w} the of" for w in words_of(40 + k, k).split()), "en"), (" ".join(f"{w.upper()}$$ 12-- {w}" for w in words_of(60, 300 + k).split()), "en"), ("der die und " + words_of(70, 400 + k), "de"), ("ж" * 3 + " " + words_of(90, 500 + k).replace("a", "щ"), "ru"))]
+    rows += odd
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame).collect()}
+    want = quality_rules.verdicts_by_hand(rows)
+    assert got == dict(enumerate(want)) and 20 < sum(want) < len(rows) - 20
+
+
+def test_a_verdict_does_not_depend_on_the_size_of_the_table(spark):
+    schema = "doc_id long, text string, lang string"
+    clean = [(k, " ".join(f"{w} the {u} of {v} and {w} x{u} to {v} y{w}" for w, u, v in zip(*(words_of(20 + k, 9 * k + j).split() for j in range(3)))), "en") for k in range(60)]
+    junk = [(100, " ".join(f"{k}$$$&&&" for k in range(80)), "en"), (101, words_of(300, 8), "en")]
+    whole = cut(quality_rules.language_references(quality_rules.quality_features(spark.createDataFrame(clean + junk, schema))), "references")
+    for n in (0, 1, 28, 40, 60):
+        frame = spark.createDataFrame(clean[:n] + junk, schema)
+        for references in (None, whole):
+            got = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame, references=references).collect()}
+            assert not got[100] and not got[101] and all(got[k] for k in range(n))
+
+
 def test_jensen_shannon(spark):
     frame = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.5, 0.5])], "p array<double>, q array<double>")
     got = [r[0] for r in frame.select(quality_rules.jensen_shannon(F.col("p"), F.col("q"))).collect()]
@@ -386,5 +409,40 @@ def test_packing_is_near_the_bound(spark):
     assert got.count() == 20_000 and got.select("sequence_id").distinct().count() <= 1.01 * -(-int(sizes.sum()) // 2048)
 
 
+def check_packing(sizes, rows, capacity):
+    """The number of sequences, after a look at whether they hold everything without gaps or overflow."""
+    assert sorted(r.key for r in rows) == list(range(len(sizes)))
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, int(sizes[r.key])))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "halves", "just over half", "small"])
+def test_packing_in_a_tree_of_groups(spark, monkeypatch, kind):
+    rng = np.random.default_rng(1)
+    sizes = {"mixed": rng.integers(1, 2049, 6000), "halves": rng.integers(900, 1150, 6000), "just over half": np.append(np.full(5000, 1100), [10, 20, 948]), "small": rng.integers(1, 40, 6000)}[kind]
+    items = spark.createDataFrame([(k, int(n)) for k, n in enumerate(sizes)], "key long, length long").repartition(4).cache()
+    flat = check_packing(sizes, packing.pack_items(items).collect(), 2048)
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 200)
+    tree = check_packing(sizes, packing.pack_items(items).collect(), 2048)
+    assert tree <= 1.04 * flat + 1 and (kind != "just over half" or tree == flat == 5001 - 1)
+
+
+def test_best_fit_by_length_is_best_fit():
+    rng = np.random.default_rng(3)
+    for sizes in (rng.integers(1, 101, 4000), rng.choice([51, 49, 30, 1], 999), np.full(10, 60), np.zeros(0, int)):
+        bins = packing.best_fit_by_length({int(k): int((sizes == k).sum()) for k in np.unique(sizes)}, 100)
+        assert all(sum(lengths) <= 100 for lengths, _ in bins)
+        assert sorted(x for lengths, n in bins for x in lengths * n) == sorted(sizes.tolist())
+        assert sum(n for _, n in bins) == len(packing.best_fit(sizes, 100)[2])
+
+
 def test_types(docs):
     assert isinstance(docs.schema["key"].dataType, T.LongType)
