@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.storage import broadcast_if_small
 
-#: Spellings that count as the second one, on lower-case text without punctuation.
+#: Spellings that count as the second one, as whole words of lower-case text without punctuation.
 EQUIVALENT = [
     ("licence", "license"),
     ("sub license", "sublicense"),
@@ -24,7 +24,7 @@ EQUIVALENT = [
     ("whilst", "while"),
     ("acknowledgement", "acknowledgment"),
     ("merchantibility", "merchantability"),
-    ("https ", "http "),
+    ("https", "http"),
 ]
 
 #: Short public licences as their stewards publish them.
@@ -49,11 +49,62 @@ ZERO_BSD = """Copyright (C) <year> by <copyright holders>
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_HEAD = """Copyright (c) <year>, <copyright holders>
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_2 = _BSD_HEAD + _BSD_TAIL
+BSD_3 = (
+    _BSD_HEAD
+    + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+    + _BSD_TAIL
+)
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
 #: (license_id, text): whole texts, and notices that stand for a licence in one line
 KNOWN = [
     ("MIT", MIT),
+    ("MIT", MIT.partition("\n\n")[2]),
     ("ISC", ISC),
+    ("ISC", ISC.partition("\n\n")[2]),
     ("0BSD", ZERO_BSD),
+    ("BSD-2-Clause", BSD_2),
+    ("BSD-3-Clause", BSD_3),
+    ("Zlib", ZLIB),
+    ("BSL-1.0", BOOST),
+    ("Unlicense", UNLICENSE),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -72,9 +123,11 @@ def canonical(text: Column) -> Column:
     line ends as one space; equivalent spellings as one. Lines stay lines, without spaces at their ends."""
     out = F.regexp_replace(F.lower(text), "(?m)^[\\x20\\x09]*(?:copyright|\\(c\\)|©)[^\n]*$", "")
     out = F.regexp_replace(out, "[^\\p{L}\\p{N}\n]+", " ")
+    # every word between two spaces of its own, so that spellings are met as whole words, also side by side
+    out = F.concat(F.lit(" "), F.replace(F.replace(out, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for one, other in EQUIVALENT:
-        out = F.replace(out, F.lit(one), F.lit(other))
-    return F.regexp_replace(out, "(?m)^ | $", "")
+        out = F.replace(out, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other} "))
+    return F.regexp_replace(F.regexp_replace(out, " +", " "), "(?m)^ | $", "")
 
 
 def digest(canonical_text: Column) -> Column:
@@ -89,33 +142,41 @@ def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = No
     return table.select("license_id", digest(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text", notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """Per row of docs: doc_id, digest, license_id, notices.
 
-    license_id: of the known text with the same digest as the row's whole text, else null. notices: the ids, sorted
-    and comma-joined, of KNOWN's one-line notices that the row has as lines; empty if there are none.
+    known: (license_id, digest), by default known_licenses(). license_id: of the known text with the same digest as the row's whole text,
+    else null. notices: the ids, sorted and comma-joined, of the given one-line notices (license_id, line), by default KNOWN's, that the
+    row has as lines; empty if there are none.
 
     Null texts, and those without letters or digits, have no digest and no licence. Repeated rows come
-    back as often as they are there. Other columns are not used; an empty table gives an empty result.
+    back as often as they are there. A very long text is canonised whole, in one task. Other columns are not used; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    known = broadcast_if_small(known or known_licenses(spark), BROADCAST_KNOWN)
-    lines = sorted({(name, text) for name, text in KNOWN if "\n" not in text})
-    notice = F.array(*[F.struct(canonical(F.lit(text)).alias("line"), F.lit(name).alias("name")) for name, text in lines])
+    known = broadcast_if_small((known or known_licenses(spark)).select(F.col("digest").alias("key"), "license_id"), BROADCAST_KNOWN)
+    lines = sorted({(name, text) for name, text in (KNOWN if notices is None else notices) if "\n" not in text})
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), canonical(F.col(text_column).cast("string")).alias("canonical"))
-    # the few lines that speak of licences at all are looked up
-    some = F.array_distinct(F.filter(F.split("canonical", "\n"), lambda x: x.contains("license")))
-    names = F.flatten(F.transform(some, lambda x: F.transform(F.filter(notice, lambda k: k["line"] == x), lambda k: k["name"])))
+    names = F.array().cast("array<string>")
+    if lines:
+        notice = F.array(*[F.struct(canonical(F.lit(text)).alias("line"), F.lit(name).alias("name")) for name, text in lines])
+        # the few lines that speak of licences at all are looked up
+        some = F.split("canonical", "\n")
+        if notices is None:
+            some = F.filter(some, lambda x: x.contains("license"))
+        names = F.flatten(F.transform(F.array_distinct(some), lambda x: F.transform(F.filter(notice, lambda k: k["line"] == x), lambda k: k["name"])))
     rows = rows.select("doc_id", digest(F.col("canonical")).alias("digest"), F.coalesce(F.array_join(F.sort_array(F.array_distinct(names)), ","), F.lit("")).alias("notices"))
-    return rows.join(known, "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    # a key that no licence has stands for no digest, so that such rows don't meet in one task
+    rows = rows.withColumn("key", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))))
+    return rows.join(known, "key", "left").select("doc_id", "digest", "license_id", "notices")
 
 
 def _sql_canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), '(?m)^[\\x20\\x09]*(?:copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
     out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    out = f"' ' || replace(replace({out}, ' ', '  '), chr(10), ' ' || chr(10) || ' ') || ' '"
     for one, other in EQUIVALENT:
-        out = f"replace({out}, '{one}', '{other}')"
-    return f"regexp_replace({out}, '(?m)^ | $', '', 'g')"
+        out = f"replace({out}, ' {one.replace(' ', '  ')} ', ' {other} ')"
+    return f"regexp_replace(regexp_replace({out}, ' +', ' ', 'g'), '(?m)^ | $', '', 'g')"
 
 
 def _sql_digest(canonical_text: str) -> str:

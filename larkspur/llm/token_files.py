@@ -29,6 +29,8 @@ MAGIC = b"LKTOK001"
 BLOCK = 1 << 14
 #: Ids after which a writer begins another file.
 FILE_IDS = 1 << 25
+#: Bytes of text that one writing task takes, about.
+WRITE_TASK = 16 << 20
 _FOOTER = 8 + 5 * 8
 _SHARDS = "part int, seq int, path string, n_docs long, n_tokens long"
 
@@ -164,7 +166,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int | None =
 
     part, seq (files are in the order of these two), path, n_docs, n_tokens, start (ids in all files before).
 
-    A null text counts as empty; null ids come first; rows that share an id are all written, in any order.
+    A null text counts as empty; null ids come first; rows that share an id, also repeated rows, are all written, in any order, and
+    by one task. A very long text is encoded whole.
     Other columns of docs are not used. An empty table gives no file. folder must be one that the driver and
     all executors share.
     """
@@ -173,7 +176,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int | None =
     open_fs(folder, "mkdir")
     bits = bits_for(vocabulary or encoder(tokenizer).size)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    parts = tasks(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, WRITE_TASK)
+    # texts are shuffled, not ids: compressed, they are the smaller of the two
+    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     files = cut(bounded(rows).mapInArrow(trimmed(_write(tokenizer, folder, bits, end)), _SHARDS), "token-files")
     # one row for each file of some 2**25 ids: the only thing that meets in one task
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)

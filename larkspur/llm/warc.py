@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bounded, broadcast_if_small, cut, new_path, open_fs, tasks, trimmed
+from larkspur.llm.storage import bounded, cut, join_with_hot, new_path, open_fs, tasks, trimmed
 
 #: Payloads of fewer bytes are always stored themselves.
 MIN_REVISIT = 1000
@@ -35,13 +35,24 @@ _INDEX = "page_id long, file string, offset long, length long, url string, paylo
 _ARROW = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit without. Header values lose line ends."""
+def warcinfo(file: str) -> bytes:
+    """The record that an archive begins with."""
+    body = b"software: larkspur\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, file)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {file.rpartition('/')[2]}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def record(place: str, page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, refers_to_url: str | None = None) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit without. Header values lose line ends.
+
+    place: the record's own, in all archives, from which its id is made, so that repeated rows have ids of their own. A revisit names
+    the response by address and date, as the standard recommends, and by page id.
+    """
     one_line = " ".join((url or "").split())
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{one_line}|{digest}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
         f"WARC-Target-URI: {one_line}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -51,7 +62,7 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     if refers_to is None:
         body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload
     else:
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {' '.join((refers_to_url or '').split())}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
         body = b""
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -73,17 +84,20 @@ def _write(folder: str):
         part, out, file, at, files = TaskContext.get().partitionId(), None, "", 0, 0
         for batch in batches:
             rows = []
-            for page, url, html, first in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for page, url, html, first, first_url in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if out is None or at >= FILE_BYTES:
                     if out is not None:
                         out.close()
                     # another attempt of this task writes files of other names, which no index row names if it fails
                     file, at, files = f"{folder}/{part:06d}-{files:04d}-{uuid.uuid4().hex}.warc.gz", 0, files + 1
                     out = open_fs(file, "w")
+                    info = gzip.compress(warcinfo(file), 5, mtime=0)
+                    out.write(info)
+                    at = len(info)
                 payload = (html or "").encode()
                 digest = hashlib.sha1(payload).hexdigest()
                 refers_to = first if first is not None and first != page else None
-                data = gzip.compress(record(page, url, payload, digest, refers_to), 5, mtime=0)
+                data = gzip.compress(record(f"{file}#{at}", page, url, payload, digest, refers_to, first_url), 5, mtime=0)
                 out.write(data)
                 rows.append((page, file, at, len(data), url, len(payload), digest, "response" if refers_to is None else "revisit", refers_to))
                 at += len(data)
@@ -102,8 +116,9 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url_column: str
 
     Of records with equal payloads of MIN_REVISIT bytes or more, that of the greatest id is a response and
     the others revisit it; all smaller ones are responses. A null html is an empty payload, a null URL an empty
-    one; a row without an id never is referred to, and rows that share the greatest id are all responses. Other
-    columns are not used. An empty table gives no file. folder must be one that all machines share.
+    one; a row without an id never is referred to, and rows that share the greatest id, also repeated rows, are all responses. A very
+    long payload is one record as any other. Other columns are not used. An empty table gives no file. folder must be one
+    that all machines share.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
@@ -111,12 +126,18 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", url_column: str
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"))
     large = F.octet_length("html") >= MIN_REVISIT
     # digests of repeated payloads only: each task adds up its own, so one payload on many pages is a row a task
-    firsts = rows.where(large).select(F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("bytes"), "page_id")
-    firsts = firsts.groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    firsts = cut(firsts.select("digest", "bytes", "first"), "repeated-payloads")
-    keyed = rows.withColumns({"key": F.when(large, F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html")})
-    placed = keyed.join(broadcast_if_small(firsts, BROADCAST_DIGESTS), (F.col("key") == F.col("digest")) & (F.col("size") == F.col("bytes")), "left")
-    return cut(bounded(placed).select("page_id", "url", "html", "first").mapInArrow(trimmed(_write(folder)), _INDEX), "warc-index")
+    firsts = rows.where(large).select(F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("bytes"), F.struct("page_id", "url").alias("page"))
+    firsts = firsts.groupBy("digest", "bytes").agg(F.max("page").alias("page"), F.count("*").alias("n")).where("n > 1 and page.page_id is not null")
+    firsts = cut(firsts.select("digest", "bytes", F.col("page.page_id").alias("first"), F.col("page.url").alias("first_url"), "n"), "repeated-payloads")
+    keyed = rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
+    if firsts.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        keyed = keyed.withColumn("digest", F.when(F.col("bytes") >= MIN_REVISIT, F.col("digest")))
+        placed = keyed.join(F.broadcast(firsts), ["digest", "bytes"], "left")
+    else:  # small pages meet nothing, and popular payloads meet their first one where they are
+        none = keyed.where(F.col("bytes") < MIN_REVISIT).withColumns({"first": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")})
+        met = join_with_hot(keyed.where(F.col("bytes") >= MIN_REVISIT), firsts, ["digest", "bytes"], "n", firsts.agg(F.sum("n")).first()[0], "left")
+        placed = met.unionByName(none)
+    return cut(bounded(placed).select("page_id", "url", "html", "first", "first_url").mapInArrow(trimmed(_write(folder)), _INDEX), "warc-index")
 
 
 def _read(with_html: bool):

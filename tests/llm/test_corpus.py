@@ -236,8 +236,16 @@ def test_line_dedup(spark, docs, none, monkeypatch):
 def test_license_scan(spark, docs, none):
     mit = licenses.MIT.replace("<year> <copyright holders>", "2020 A. N. Other").replace("sublicense", "sub-license").upper()
     rows = [(1, mit), (2, "x\n  Released under the MIT Licence\ny"), (3, None), (4, ""), (5, PROSE), (6, licenses.ISC + "\n© 2021 Me")]
-    got = {r.doc_id: (r.license_id, r.notices) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("MIT", ""), 2: (None, "MIT"), 3: (None, ""), 4: (None, ""), 5: (None, ""), 6: ("ISC", "")}
+    rows += [(7, "© me\n" + licenses.BSD_3), (7, "© me\n" + licenses.BSD_3), (8, licenses.BSD_2 + "\nbut not quite"), (9, "my own terms: the super centre's licence  licence"), (10, (PROSE + "\n") * 5000 + "SPDX-License-Identifier: MIT")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.license_id, r.notices) for r in licenses.scan_licenses(frame).collect())
+    assert got == [(1, "MIT", ""), (2, None, "MIT"), (3, None, ""), (4, None, ""), (5, None, ""), (6, "ISC", ""), (7, "BSD-3-Clause", ""), (7, "BSD-3-Clause", ""), (8, None, ""), (9, None, ""), (10, None, "MIT")]
+    assert licenses.scan_licenses(frame.where("doc_id < 0")).collect() == []
+    own = licenses.known_licenses(spark, [("Mine", "My own terms: the SUPER centre's license, license")])
+    got = {r.doc_id: (r.license_id, r.notices) for r in licenses.scan_licenses(frame, own, notices=[("quick", "the quick brown fox")]).collect()}
+    assert got[9] == ("Mine", "") and got[1] == (None, "")
+    shape = frame.select(licenses.canonical(F.lit("Supercentre, super centre; sub-license sub license\nper cent")).alias("c")).first().c
+    assert shape == "supercentre super centre sublicense sublicense\npercent"
     assert licenses.scan_licenses(docs).count() == len(odd_documents()) and licenses.scan_licenses(none).collect() == []
 
 
@@ -308,9 +316,9 @@ def test_every_word_is_in_a_window():
         assert seen == set(range(first[i], first[i + 1]))
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     same = "x" * 1200
-    rows = [(1, "http://a/1", same), (2, "http://a/2", same), (3, None, same), (4, "u", "small"), (5, "v", "small"), (6, "w", None), (7, "é\r\nX: y", "é" * 700), (None, "n", same), (8, "", ""), (4, "u", "small")]
+    rows = [(1, "http://a/1", same), (2, "http://a/2", same), (3, None, same), (4, "u", "small"), (5, "v", "small"), (6, "w", None), (7, "é\r\nX: y", "é" * 700), (None, "n", same), (8, "", ""), (4, "u", "small"), (9, "long", "<p>" + words_of(100_000, 7))]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, length long").repartition(3)
     index = warc.write_archives(frame)
     got = warc.read_archives(index, with_html=True).collect()
@@ -320,6 +328,17 @@ def test_warc(spark):
         revisit = len(html.encode()) >= 1000 and html == same and r.page_id != 3
         assert (r.record_type, r.refers_to) == (("revisit", 3) if revisit else ("response", None))
         assert r.html == ("" if revisit else html) and r.payload_bytes == len(html.encode())
+    names = []
+    for file in {r.file for r in index.select("file").collect()}:
+        with gzip.open(file.removeprefix("file://")) as f:
+            data = f.read()
+        assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        names += re.findall(rb"WARC-Record-ID: <([^>]+)>", data)
+        assert all(x == b"http://a/1" or x == b"http://a/2" or x == b"" for x in re.findall(rb"WARC-Refers-To-Target-URI: ?([^\r]*)", data))
+    assert len(names) == len(set(names)) and len(names) >= len(rows)
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)  # also where repeated payloads are too many to be broadcast
+    again = warc.read_archives(warc.write_archives(frame)).collect()
+    assert sorted(again, key=str) == sorted((r for r in warc.read_archives(index).collect()), key=str)
     some = warc.read_archives(index.where("page_id in (4, 7)"), with_html=True).collect()
     assert sorted((r.page_id, r.html) for r in some) == [(4, "small"), (4, "small"), (7, "é" * 700)]
     one = index.where("page_id = 7").first()
