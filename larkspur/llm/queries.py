@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import licenses, line_dedup, quality_model, toxicity, warc
+from larkspur.llm import licenses, line_dedup, oracles, quality_model, toxicity, warc
 from larkspur.llm.decontamination import find_contamination, hit_words
 from larkspur.llm.near_dedup import near_duplicates
 from larkspur.llm.packing import pack_documents
@@ -27,7 +27,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and distances from the language's distributions of all documents."""
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op2_quality_rules": oracles.QUALITY_RULES,
+    "op3_decontamination": oracles.DECONTAMINATION,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_license_scan": licenses.oracle(),
     "op7_warc": warc.ORACLE,
