@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.labelled import labelled_texts
-from larkspur.llm.storage import bounded, trimmed
+from larkspur.llm.storage import bounded, free_name, trimmed
 from larkspur.llm.textkit import WHITESPACE, chunks, find_words, mix
 
 #: Hashed features.
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return fit(features, label)
 
 
-def _score(model, text: int):
+def _score(model, text: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.zeros(batch.num_rows)
@@ -186,7 +186,7 @@ def _score(model, text: int):
                 scores[low:high] = model.value.scores(data, offsets)
             columns = [c for k, c in enumerate(batch.columns) if k != text]
             names = [n for k, n in enumerate(batch.schema.names) if k != text]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*names, "larkspur_score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*names, name])
 
     return run
 
@@ -199,10 +199,9 @@ def score_texts(docs: DataFrame, model, text_column: str = "text", columns: list
     another to keep it. An empty table gives an empty result.
     """
     columns = [c for c in columns or docs.columns if c.lower() != score_column.lower()]
-    rows = docs.select(*columns, F.col(text_column).cast("string").alias("larkspur_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("larkspur_score", T.DoubleType())])
-    scored = bounded(rows).mapInArrow(trimmed(_score(docs.sparkSession.sparkContext.broadcast(model), len(columns))), schema)
-    return scored.withColumnRenamed("larkspur_score", score_column)
+    rows = docs.select(*columns, F.col(text_column).cast("string").alias(free_name(docs, "larkspur_text")))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score_column, T.DoubleType())])
+    return bounded(rows).mapInArrow(trimmed(_score(docs.sparkSession.sparkContext.broadcast(model), len(columns), score_column)), schema)
 
 
 def held_out(id_column: str = "doc_id"):
