@@ -25,7 +25,7 @@ from larkspur.llm.textkit import ranges, string_hashes, text_buffers
 #: Bytes of text encoded at once; a longer text is encoded alone and whole.
 CHUNK = 2 << 20
 #: Words a worker remembers; when it has more, it forgets those that haven't come again since it last did so.
-MEMORY = 1_200_000
+MEMORY = 600_000
 #: Words that are encoded as one string, and strings that are given to the library at once, as its own results are large.
 _JOINED, _AT_ONCE = 64, 64
 
