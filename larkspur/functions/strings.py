@@ -33,6 +33,30 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def uri_encode(text: Column) -> Column:
+    """Percent encoding of all but letters, digits and - _ . ! ~ * ' ( )."""
+    out = F.url_encode(text)
+    for one, other in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(one), F.lit(other))
+    return out
+
+
+def uri_decode(text: Column) -> Column:
+    """What uri_encode() encoded; null if it isn't well-formed."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def one_of(value: Column, allowed: list[str], fallback: Column | str | None) -> Column:
+    """value if it is allowed, else the fallback."""
+    return F.when(value.isin(*allowed), value).otherwise(fallback if isinstance(fallback, Column) else F.lit(fallback))
+
+
+def label_of(key: Column, labels: dict[str, str]) -> Column:
+    """The key's label, or the key itself, or a dash if it is null or empty."""
+    found = F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), key)
+    return F.coalesce(found, F.nullif(key, F.lit("")), F.lit("—"))
+
+
 def ticket_number(year: Column, sequence: Column) -> Column:
     """TKT-2026-0001; sequences above 9999 take the digits they need."""
     return F.format_string("TKT-%d-%04d", year, sequence)

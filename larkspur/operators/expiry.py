@@ -9,8 +9,8 @@ from larkspur.functions.dates import long_date, stage
 
 #: Fixed value: the subject of alert mails.
 SUBJECT = "🔔 تنبيه بقرب انتهاء وثيقة موظف"
-#: Document types are a small catalogue; a table of more is refused.
-MOST_TYPES = 1000
+#: Document types are a small catalogue, and recipients a short list; a table of more is refused.
+MOST_TYPES, MOST_RECIPIENTS = 1000, 1000
 
 
 def latest_permits(permits: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def scan_expirations(employees: DataFrame, permits: DataFrame, document_types: D
     return rows.select(F.col("id").alias("employee_id"), F.col("name").alias("employee_name"), F.col("key").alias("type_key"), F.col("label").alias("type_label"), "sort_order", "expiry", "remaining_days", "stage")
 
 
+#: Fixed values in the next two: the wordings of alert texts.
 def remaining_clause(stage_: Column, days: Column) -> Column:
     overdue = F.concat(F.lit("منتهية منذ "), F.abs(days).cast("string"), F.lit(" يوم"))
     return F.when(stage_ == "overdue", overdue).when(stage_ == "today", "تنتهي اليوم").otherwise(F.concat(F.lit("متبقي "), days.cast("string"), F.lit(" أيام")))
@@ -55,6 +56,8 @@ def alert_mails(alerts: DataFrame, recipients: DataFrame, templates: DataFrame)
 
     alerts need pos. One alert makes a detailed mail, more make a list. A mail stays a table of lines, so that it may have any number.
     """
+    if recipients.limit(MOST_RECIPIENTS + 1).count() > MOST_RECIPIENTS:
+        raise ValueError(f"more than {MOST_RECIPIENTS} recipients")
     total = alerts.agg(F.count("*").alias("n"))
     rows = alerts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(recipients.select("email").join(templates, "email", "left")))
     single = F.concat_ws(" — ", "employee_name", "type_label", long_date(F.col("expiry")), remaining_clause(F.col("stage"), F.col("remaining_days")))

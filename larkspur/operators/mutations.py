@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from larkspur.functions.strings import clean, is_url
 
 
+def one_per_key(patch: DataFrame, keys: list[str]) -> DataFrame:
+    """patch; reading it fails if it has several rows of a key, as none of them could be said to be the change."""
+    several = F.count("*").over(Window.partitionBy(*keys)) > 1
+    checked = patch.withColumn("larkspur_several", F.when(several, F.raise_error(F.lit("several rows of a patch have one key"))).otherwise(F.lit(False)).cast("boolean"))
+    return checked.where(~F.col("larkspur_several")).drop("larkspur_several")
+
+
 def insert_if_absent(base: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """base and incoming rows, with outcome: kept (of base), inserted, or rejected; of incoming ones that share a key the first in order counts."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
-    known = base.select(F.col(key).alias("known_key")).distinct()
-    rows = incoming.withColumn("first", first).join(known, F.col(key) == F.col("known_key"), "left")
-    outcome = F.when(F.col("first") & F.col("known_key").isNull(), "inserted").otherwise("rejected")
-    return base.withColumn("outcome", F.lit("kept")).unionByName(rows.withColumn("outcome", outcome).drop("first", "known_key"))
+    known = base.select(F.col(key).alias("larkspur_key")).distinct()
+    rows = incoming.withColumn("larkspur_first", first).join(known, F.col(key) == F.col("larkspur_key"), "left")
+    outcome = F.when(F.col("larkspur_first") & F.col("larkspur_key").isNull(), "inserted").otherwise("rejected")
+    return base.withColumn("outcome", F.lit("kept")).unionByName(rows.withColumn("outcome", outcome).drop("larkspur_first", "larkspur_key"))
 
 
 def upsert(base: DataFrame, patch: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """base with the values of patch wherever its keys are there, and patch's other rows added."""
-    p = patch.select(*keys, F.lit(True).alias("patched"), *[F.col(v).alias(f"new_{v}") for v in values])
-    rows = base.join(p, keys, "full_outer")
-    return rows.select(*keys, *[F.when(F.col("patched"), F.col(f"new_{v}")).otherwise(F.col(v)).alias(v) for v in values])
+    """base with the values of patch wherever its keys are there, and patch's other rows added. A patch of several rows for a key is refused."""
+    p = patch.select(*keys, F.lit(True).alias("larkspur_patched"), *[F.col(v).alias(f"larkspur_{v}") for v in values])
+    rows = base.join(one_per_key(p, keys), keys, "full_outer")
+    return rows.select(*keys, *[F.when(F.col("larkspur_patched"), F.col(f"larkspur_{v}")).otherwise(F.col(v)).alias(v) for v in values])
 
 
 def merge_maps(old: Column, new: Column) -> Column:
@@ -31,11 +38,15 @@ def merge_maps(old: Column, new: Column) -> Column:
 
 
 def merge_json(base: DataFrame, patch: DataFrame, key: str, column: str) -> DataFrame:
-    """base with its JSON objects overlaid by those of patch: key, column as a map of texts."""
+    """base, all its columns, with its JSON objects overlaid by those of patch; the column becomes a map of texts, in which nested values are JSON texts.
+
+    A patch of several rows for a key is refused.
+    """
     kind = "map<string,string>"
-    new = patch.select(key, F.from_json(column, kind).alias("new"))
-    old = base.withColumn("old", F.coalesce(F.from_json(column, kind), F.create_map().cast(kind)))
-    return old.join(new, key, "left").select(key, F.coalesce(merge_maps(F.col("old"), F.col("new")), "old").alias(column))
+    new = one_per_key(patch.select(key, F.from_json(column, kind).alias("larkspur_new")), [key])
+    old = F.coalesce(F.from_json(column, kind), F.create_map().cast(kind))
+    rows = base.withColumn(column, old).join(new, key, "left")
+    return rows.withColumn(column, F.coalesce(merge_maps(F.col(column), F.col("larkspur_new")), column)).select(*base.columns)
 
 
 def delete_cascade(base: DataFrame, children: DataFrame, gone: DataFrame, key: str, parent_key: str) -> tuple[DataFrame, DataFrame]:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.strings import clean, ticket_number
+from larkspur.functions.dates import is_iso
+from larkspur.functions.strings import clean, one_of, ticket_number
+from larkspur.operators.mutations import one_per_key
 from larkspur.operators.ordering import with_position
 
 #: The enumerations of tickets.
 PRIORITIES = ["normal", "medium", "high", "urgent"]
 STATUSES = ["open", "awaiting_counterparty", "awaiting_us", "in_progress", "completed", "cancelled"]
 CLOSED = ["completed", "cancelled"]
+TYPES = ["issue_permit", "renew_permit", "renew_iqama", "renew_work_license", "edit_data", "request_document", "replace_worker", "objection", "other"]
+EVENT_KINDS = ["created", "status_changed", "priority_changed", "assignee_changed", "followup", "follow_up_date_changed", "edited", "closed", "reopened"]
+#: Fixed value: the counterparty of a ticket that names none.
+COUNTERPARTY = "شركة ضمان الأعمال"
 #: Fields whose changes have a kind of their own, in the order of their events.
 TRACKED = [("status", "status_changed"), ("priority", "priority_changed"), ("assignee_id", "assignee_changed"), ("follow_up_date", "follow_up_date_changed")]
 
@@ -81,14 +87,33 @@ def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+def _changed(old: DataFrame, patch: DataFrame, plain: tuple[str, ...]) -> DataFrame:
+    """Tickets of ids in both, with new_<field> for all fields: what the patch gives, or the old value.
+
+    A field is given if the patch has its column, and, if the patch has a column has_<field> too, where that is true. Rows whose given
+    status or priority is unknown are left out.
+    """
+    names = [c for c, _ in TRACKED] + list(plain)
+    given = [c for c in names if c in patch.columns]
+    flag = lambda c: F.coalesce(F.col(f"has_{c}"), F.lit(False)) if f"has_{c}" in patch.columns else F.lit(True)
+    value = lambda c: clean(F.col(c)) if c in plain else F.col(c)
+    new = patch.select("id", *[flag(c).alias(f"given_{c}") for c in given], *[value(c).alias(f"patch_{c}") for c in given])
+    rows = old.join(one_per_key(new, ["id"]), "id")
+    rows = rows.withColumns({f"new_{c}": F.when(F.col(f"given_{c}"), F.col(f"patch_{c}")).otherwise(F.col(c)) if c in given else F.col(c) for c in names})
+    for c, allowed in (("status", STATUSES), ("priority", PRIORITIES)):
+        if c in given:
+            rows = rows.where(~F.col(f"given_{c}") | F.coalesce(F.col(f"new_{c}").isin(allowed), F.lit(False)))
+    return rows
+
+
 def change_events(old: DataFrame, patch: DataFrame, plain: tuple[str, ...] = ()) -> DataFrame:
-    """Events of updating tickets by a patch of the same columns, for ids in both: ticket_id, seq, kind, from_value, to_value.
+    """Events of updating tickets by a patch, for ids in both: ticket_id, seq, kind, from_value, to_value.
 
-    A field of equal value, null and empty alike, gives none. Tracked fields come first, then plain ones as edits, then
-    the closing or reopening. Patches with an unknown status or priority change nothing.
+    A patch has id and any of the fields, and may have has_<field> to say where a field is given. A field that isn't given, or of equal
+    value, null and empty alike, gives none. Tracked fields come first, then plain ones as edits, then
+    the closing or reopening. Patches with an unknown status or priority change nothing; several for a ticket are refused.
     """
-    new = patch.select("id", *[F.col(c).alias(f"new_{c}") for c, _ in TRACKED], *[clean(F.col(c)).alias(f"new_{c}") for c in plain])
-    rows = old.join(new, "id").where(F.col("new_status").isin(STATUSES) & F.col("new_priority").isin(PRIORITIES))
+    rows = _changed(old, patch, plain)
     differs = lambda c: F.coalesce(_text(c), F.lit("")) != F.coalesce(_text(f"new_{c}"), F.lit(""))
     event = lambda seq, kind, a, b, on: F.when(on, F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), a.alias("from_value"), b.alias("to_value")))
     events = [event(k, kind, _text(c), _text(f"new_{c}"), differs(c)) for k, (c, kind) in enumerate(TRACKED)]
@@ -96,3 +121,58 @@ def change_events(old: DataFrame, patch: DataFrame, plain: tuple[str, ...] = ())
     was, now, none = is_closed(), F.col("new_status").isin(CLOSED), F.lit(None).cast("string")
     events += [event(100, "closed", none, _text("new_status"), now & ~was), event(101, "reopened", _text("status"), _text("new_status"), was & ~now)]
     return rows.select(F.col("id").alias("ticket_id"), F.explode(F.filter(F.array(*events), lambda e: e.isNotNull())).alias("e")).select("ticket_id", "e.*")
+
+
+def updated(old: DataFrame, patch: DataFrame, at: str, plain: tuple[str, ...] = ()) -> DataFrame:
+    """old after a patch as change_events() takes it: closing stamps closed_at with `at`, reopening clears it; rows without a valid patch stay."""
+    changed = _changed(old, patch, plain)
+    names = [c for c, _ in TRACKED] + list(plain)
+    now = F.col("new_status").isin(CLOSED)
+    closed_at = F.when(now & ~is_closed(), F.lit(at).cast(old.schema["closed_at"].dataType)).when(is_closed() & ~now, None).otherwise(F.col("closed_at"))
+    after = changed.select(*[closed_at.alias(c) if c == "closed_at" else F.col(f"new_{c}").alias(c) if c in names else F.col(c) for c in old.columns])
+    return after.unionByName(old.join(changed.select("id"), "id", "left_anti").select(*old.columns))
+
+
+def created(inputs: DataFrame, employees: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """inputs with what becomes of each: outcome, ticket_no, and the new ticket's values.
+
+    inputs: id, opened_at, title, type, priority, status, counterparty, employee_eid, assignee_id, follow_up_date (texts but for the first
+    two). A ticket needs a title, a known type and, if it names an employee, one that exists, whose iqama it keeps. Unknown
+    priorities and statuses become the first of theirs, dates of another shape null. Only created tickets take a number.
+    """
+    e = employees.select(F.col("eid").alias("e_eid"), F.nullif("iqama", F.lit("")).alias("employee_iqama_at_creation"))
+    rows = inputs.withColumns(
+        {
+            "title": clean(F.col("title"), 300),
+            "type": one_of(F.col("type"), TYPES, None),
+            "priority": one_of(F.col("priority"), PRIORITIES, "normal"),
+            "status": one_of(F.col("status"), STATUSES, "open"),
+            "counterparty": F.coalesce(clean(F.col("counterparty"), 200), F.lit(COUNTERPARTY)),
+            "employee_eid": clean(F.col("employee_eid"), 60),
+            "assignee_id": clean(F.col("assignee_id"), 60),
+            "follow_up_date": F.when(is_iso(F.col("follow_up_date")), F.col("follow_up_date")),
+        }
+    ).join(e, F.col("employee_eid") == F.col("e_eid"), "left")
+    outcome = F.when(F.col("title").isNull(), "no_title").when(F.col("type").isNull(), "unknown_type").when(F.col("employee_eid").isNotNull() & F.col("e_eid").isNull(), "no_such_employee")
+    rows = rows.withColumn("outcome", F.coalesce(outcome, F.lit("created"))).drop("e_eid")
+    made = numbered(rows.where("outcome = 'created'"), last).drop("year", "seq")
+    return made.unionByName(rows.where("outcome != 'created'").withColumn("ticket_no", F.lit(None).cast("string")))
+
+
+def event(ticket: Column, kind: Column, at: Column, body: Column, from_value: Column, to_value: Column) -> list[Column]:
+    """An event's columns: an unknown kind becomes an edit, a body is cut at 4000 characters and values at 200."""
+    return [ticket.alias("ticket_id"), one_of(kind, EVENT_KINDS, "edited").alias("kind"), at.alias("at"), clean(body).alias("body"), clean(from_value, 200).alias("from_value"), clean(to_value, 200).alias("to_value")]
+
+
+def followed_up(tickets: DataFrame, notes: DataFrame) -> DataFrame:
+    """What becomes of notes (id, ticket_id, at, body, and has_/new_ of status and follow_up_date) on tickets: outcome, and the event's columns.
+
+    A note needs a ticket that exists, a text, and a known status if it gives one: a note that is refused leaves nothing behind. The
+    changes that the notes give are those of change_events(), for a patch of the notes that are accepted.
+    """
+    t = tickets.select(F.col("id").alias("t_id"))
+    rows = notes.join(t, F.col("ticket_id") == F.col("t_id"), "left")
+    bad = F.coalesce(F.col("has_status"), F.lit(False)) & ~F.coalesce(F.col("new_status").isin(STATUSES), F.lit(False))
+    outcome = F.when(F.col("t_id").isNull(), "no_such_ticket").when(clean(F.col("body")).isNull(), "no_text").when(bad, "unknown_status").otherwise("added")
+    none = F.lit(None).cast("string")
+    return rows.select("id", outcome.alias("outcome"), *event(F.col("ticket_id"), F.lit("followup"), F.col("at"), F.col("body"), none, none))

@@ -46,6 +46,7 @@ def latest_permit(spark: SparkSession, sf_dir: str) -> DataFrame:
 DATE_CASES = [
     (None, None), ("", None), ("garbage", None), ("a/b/c", None), ("1/2", None), ("2025-13-01", None), ("2025-12-31", "2025-12-31"), ("2025-12", "2025-12-01"),
     ("2025-2-3", "2025-02-03"), ("2025-02-30", "2025-03-02"), ("12/31/2025", "2025-12-31"), ("1/5/2025", "2025-01-05"), ("13/40/2025", "2026-02-09"), ("1/5/25", "1925-01-05"),
+    ("2025-12-31T10:00:00Z", "2025-12-31"), ("2025", "2025-01-01"), ("0/5/2025", "2024-12-05"), ("1/0/2025", "2024-12-31"), ("2025-12-31 10:00", None),
 ]
 
 
@@ -133,7 +134,7 @@ def doc_types_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "document_types").select("key", "label", F.row_number().over(Window.orderBy("sort_order", "key")).alias("pos"))
 
 
-def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+def held_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with stored permissions: none, an array with a stale one, or an empty array."""
     custom = F.array(*map(F.lit, ["tickets:view", "gone:view", "users:manage", "kpi:view", "kpi:view"]))
     stored = F.when(F.col("perm_mode") == 1, custom).when(F.col("perm_mode") == 2, F.array().cast("array<string>"))
@@ -144,14 +145,14 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def user_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effective permissions of all users, in catalogue order."""
-    rows = _held(spark, sf_dir).select("id", "role", "defaults", F.posexplode("held").alias("pos", "permission"))
+    rows = held_users(spark, sf_dir).select("id", "role", "defaults", F.posexplode("held").alias("pos", "permission"))
     return rows
 
 
 @query
 def permission_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What speaks against each user's giving the next one a fixed set of permissions."""
-    users = _held(spark, sf_dir)
+    users = held_users(spark, sf_dir)
     target = users.select(F.col("id").alias("target_id"), F.col("role").alias("target_role"))
     rows = users.join(target, F.col("id") + 1 == F.col("target_id"))
     wanted = F.array(*map(F.lit, ["settings:edit", "kpi:view", "stale:one", "users:view"]))
@@ -161,7 +162,7 @@ def permission_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ticket_status_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each ticket's assignee may set each status."""
-    users = _held(spark, sf_dir).select(F.col("id").alias("u_id"), "role", "held")
+    users = held_users(spark, sf_dir).select(F.col("id").alias("u_id"), "role", "held")
     rows = view(spark, sf_dir, "tickets").join(users, F.col("assignee_id") == F.col("u_id"))
     rows = rows.withColumn("wanted", F.explode(F.array(*map(F.lit, tickets.STATUSES))))
     return rows.select("id", "wanted", permissions.may_set_status(F.col("role"), F.col("held"), F.col("status"), F.col("wanted")).alias("allowed"))

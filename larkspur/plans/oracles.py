@@ -36,7 +36,7 @@ _NEXT = """next AS (SELECT id, CASE WHEN status = 'open' THEN 'completed' WHEN s
   CASE WHEN status = 'awaiting_us' THEN employee_eid || 'x' ELSE employee_eid END AS employee_eid FROM tickets),
 both_ AS (SELECT t.id, t.status AS s0, n.status AS s1, CAST(t.assignee_id AS VARCHAR) AS a0, CAST(n.assignee_id AS VARCHAR) AS a1, CAST(t.follow_up_date AS VARCHAR) AS f0, CAST(n.follow_up_date AS VARCHAR) AS f1,
   t.employee_eid AS e0, n.employee_eid AS e1 FROM tickets t JOIN next n ON t.id = n.id WHERE n.status != 'nonsense')"""
-_DATES = "(0, NULL, NULL), (1, '', NULL), (2, 'garbage', NULL), (3, 'a/b/c', NULL), (4, '1/2', NULL), (5, '2025-13-01', NULL), (6, '2025-12-31', '2025-12-31'), (7, '2025-12', '2025-12-01'), (8, '2025-2-3', '2025-02-03'), (9, '2025-02-30', '2025-03-02'), (10, '12/31/2025', '2025-12-31'), (11, '1/5/2025', '2025-01-05'), (12, '13/40/2025', '2026-02-09'), (13, '1/5/25', '1925-01-05')"
+_DATES = "(0, NULL, NULL), (1, '', NULL), (2, 'garbage', NULL), (3, 'a/b/c', NULL), (4, '1/2', NULL), (5, '2025-13-01', NULL), (6, '2025-12-31', '2025-12-31'), (7, '2025-12', '2025-12-01'), (8, '2025-2-3', '2025-02-03'), (9, '2025-02-30', '2025-03-02'), (10, '12/31/2025', '2025-12-31'), (11, '1/5/2025', '2025-01-05'), (12, '13/40/2025', '2026-02-09'), (13, '1/5/25', '1925-01-05'), (14, '2025-12-31T10:00:00Z', '2025-12-31'), (15, '2025', '2025-01-01'), (16, '0/5/2025', '2024-12-05'), (17, '1/0/2025', '2024-12-31'), (18, '2025-12-31 10:00', NULL)"
 
 ORACLES: dict[str, str] = {
     "expiry_scan": f"{_ALERTS} SELECT employee_id, employee_name, type_label, CAST(expiry AS VARCHAR) AS expiry, remaining_days, stage FROM alerts",

@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from larkspur.plans.catalogue import QUERIES
-from larkspur.plans.oracles import ORACLES
+from larkspur.plans import catalogue, records
 
+QUERIES, ORACLES = catalogue.QUERIES | records.QUERIES, catalogue.ORACLES | records.ORACLES
 DIR = "/root/testdata/sf0.001"
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import dates, strings
-from larkspur.operators import expiry, hijri, mutations, nested, pdf_images, permissions, tickets, verdicts
+from larkspur.operators import expiry, hijri, mutations, nested, pdf_images, permissions, records, tickets, verdicts
 from larkspur.operators.ordering import with_position
 from larkspur.plans.catalogue import DATE_CASES, synthetic_pdf
 from larkspur.sources.views import view
@@ -147,3 +147,37 @@ def test_scan_plans(spark):
     rows = expiry.scan_expirations(*(view(spark, DIR, v) for v in ("employees", "permits", "document_types")), today="2001-08-01")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan and "o_totalprice" not in plan
+
+
+def test_patches_of_several_rows_for_a_key_are_refused(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "key long, name string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "key long, name string")
+    with pytest.raises(Exception, match="several rows of a patch"):
+        mutations.upsert(base, twice, ["key"], ["name"]).collect()
+    as_json = lambda df: df.select("key", F.to_json(F.struct("name")).alias("name"))
+    with pytest.raises(Exception, match="several rows of a patch"):
+        mutations.merge_json(as_json(base), as_json(twice), "key", "name").collect()
+    got = mutations.merge_json(as_json(base).withColumn("new", F.lit(5)), as_json(twice.where("name = 'z' or name = 'x'")), "key", "name")
+    assert {(r.key, r.name["name"], r.new) for r in got.collect()} == {(1, "x", 5), (2, "b", 5)}
+
+
+def test_upsert_on_two_keys(spark):
+    base = spark.createDataFrame([(1, "a", "old"), (1, "b", "old")], "run long, key string, note string")
+    patch = spark.createDataFrame([(1, "b", None), (2, "a", "new")], "run long, key string, note string")
+    assert {tuple(r) for r in mutations.upsert(base, patch, ["run", "key"], ["note"]).collect()} == {(1, "a", "old"), (1, "b", None), (2, "a", "new")}
+
+
+def test_a_patch_without_a_field_leaves_it(spark):
+    old = spark.createDataFrame([(1, "open", "high", 3, None, None)], "id long, status string, priority string, assignee_id int, follow_up_date date, closed_at timestamp")
+    only = spark.createDataFrame([(1, 4)], "id long, assignee_id int")
+    assert [tuple(r) for r in tickets.change_events(old, only).collect()] == [(1, 2, "assignee_changed", "3", "4")]
+    got = tickets.updated(old, only, "2024-01-01 00:00:00").first()
+    assert (got.status, got.priority, got.assignee_id, got.closed_at) == ("open", "high", 4, None)
+    unknown = spark.createDataFrame([(1, None)], "id long, status string")
+    assert tickets.change_events(old, unknown).collect() == [] and tickets.updated(old, unknown, "2024-01-01 00:00:00").first().status == "open"
+
+
+def test_lookups_by_digits_and_by_number(spark):
+    rows = spark.createDataFrame([(12, "TKT-2024-0001")], "id long, ticket_no string")
+    assert records.ticket_lookup(rows, "12").count() == records.ticket_lookup(rows, "TKT-2024-0001").count() == 1
+    assert records.ticket_lookup(rows, "\u0661\u0662").count() == 0
