@@ -229,7 +229,7 @@ def test_sketches_fill_and_agree_as_often_as_sets_do():
 
 
 def test_all_pairs_at_the_bound_are_found(spark):
-    """Recall against what was planted: 300 pairs at similarities from 0.8 to 0.83."""
+    """Recall against what was planted: 300 pairs at similarities of 0.82 and 0.85."""
     rows = []
     for k in range(300):
         words = words_of(101, 5000 + k).split()
