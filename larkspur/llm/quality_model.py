@@ -8,7 +8,7 @@ before it is a shape of its own: what makes a text bad is seldom its vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.labelled import labelled_texts
-from larkspur.llm.storage import bounded, free_name, trimmed
+from larkspur.llm.storage import bounded, free_name, give_back, trimmed
 from larkspur.llm.textkit import WHITESPACE, chunks, find_words, mix
 
 #: Hashed features.
 BITS = 18
 #: Most labelled rows of each class that are learnt from, chosen by a hash of their ids. Each is learnt from whole.
 SAMPLE = 2000
+#: Bytes of the sample whose n-grams are found at once, about: finding them takes some hundred times that.
+LEARNT_AT_ONCE = 1 << 18
 
 _LOWER, _UPPER, _DIGIT, _POINT, _SIGN, _WIDE, _SAME = range(1, 8)
 _SHAPE = np.full(256, _SIGN, dtype=np.uint8)
@@ -90,7 +92,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, offsets) + self.shift, -40, 40)))
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, cost: np.ndarray, rounds: int = 12, seed: int = 7) -> np.ndarray:
+class _Scaled(Sequence):
+    """(feature numbers, values) of each of some examples, made when asked for: its ratios divided by the example's norm, and 1 for the last, the bias."""
+
+    def __init__(self, features: list[np.ndarray], some: np.ndarray, ratio: np.ndarray):
+        self.features, self.some, self.ratio = features, some, ratio
+
+    def __len__(self) -> int:
+        return len(self.some)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.features[self.some[k]]
+        v = self.ratio[at] / np.sqrt(max(1, len(at) - 1))
+        v[-1] = 1.0
+        return at, v
+
+
+def dual_coordinate_descent(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, cost: np.ndarray, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Weights that minimise |w|^2 / 2 + sum cost * max(0, 1 - y w.x), one dual variable at a time, in random order.
 
     rows: (feature numbers, values) of each example.
@@ -130,20 +148,21 @@ def _logistic(margins: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(features: list[np.ndarray], label: np.ndarray, smoothing: float = 1.0, penalty: float = 4.0) -> Model:
+def fit(features: Iterable[np.ndarray], label: np.ndarray, smoothing: float = 1.0, penalty: float = 4.0) -> Model:
     """The model of examples given as arrays of distinct feature numbers; classes weigh the same in the sum of losses."""
     width = 1 << BITS
+    # one feature more, always 1, for the bias
+    features = [np.append(f, width).astype(np.int32) for f in features]
 
     def ratios(some: np.ndarray) -> np.ndarray:
         counts = [np.full(width, smoothing), np.full(width, smoothing)]
         for i in some:
-            counts[label[i]][features[i]] += 1
+            counts[label[i]][features[i][:-1]] += 1
         return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
     def learn(some: np.ndarray) -> tuple[np.ndarray, float]:
         r = ratios(some)
-        # one feature more, always 1, for the bias
-        rows = [(np.append(features[i], width), np.append(r[features[i]] / np.sqrt(max(1, len(features[i]))), 1.0)) for i in some]
+        rows = _Scaled(features, some, np.append(r, 1.0))
         share = np.bincount(label[some], minlength=2) / len(some)
         w = dual_coordinate_descent(rows, np.where(label[some] == 1, 1.0, -1.0), width + 1, penalty * 0.5 / np.maximum(share[label[some]], 1e-9))
         return w[:width] * r, float(w[width])
@@ -157,7 +176,7 @@ def fit(features: list[np.ndarray], label: np.ndarray, smoothing: float = 1.0, p
     for k in range(3):  # margins of examples not learnt from, for the curve
         w, bias = learn(everyone[folds != k])
         for i in everyone[folds == k]:
-            margins[i] = w[features[i]].sum() / np.sqrt(max(1, len(features[i]))) + bias
+            margins[i] = w[features[i][:-1]].sum() / np.sqrt(max(1, len(features[i]) - 1)) + bias
     w, bias = learn(everyone)
     return Model(w, bias, *_logistic(margins, label))
 
@@ -170,12 +189,17 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     each distinct n-gram of a text.
     """
     column, label, _ = labelled_texts(docs, labels, id_column, text_column, label_column, sample)
-    features = []
-    for low, high, data, offsets in chunks(column):
+    try:
+        return fit(_features_of(column), label)
+    finally:
+        give_back()
+
+
+def _features_of(column: pa.Array) -> Iterator[np.ndarray]:
+    for low, high, data, offsets in chunks(column, LEARNT_AT_ONCE):
         doc, feature = ngram_features(data, offsets)
         first = np.searchsorted(doc, np.arange(high - low + 1))
-        features += [feature[a:b].astype(np.int32) for a, b in zip(first[:-1], first[1:])]
-    return fit(features, label)
+        yield from (feature[a:b] for a, b in zip(first[:-1], first[1:]))
 
 
 def _score(model, text: int, name: str):

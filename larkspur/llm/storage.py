@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.sources.storage import new_path
 from larkspur.sources.storage import written as cut
 
-__all__ = ["bounded", "broadcast_if_small", "cut", "free_name", "join_with_hot", "new_path", "open_fs", "tasks", "trimmed"]
+__all__ = ["bounded", "broadcast_if_small", "cut", "free_name", "give_back", "join_with_hot", "new_path", "open_fs", "tasks", "trimmed"]
 
 
 def open_fs(uri: str, mode: str):
@@ -41,6 +41,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns to the system what this process holds of memory that is no longer used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries may not
+    if trim:
+        trim(0)
+
+
 def trimmed(run):
     """run, a function over Arrow batches; when it is done, its worker gives memory that it no longer uses back.
 
@@ -51,10 +59,7 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries may not
-            if trim:
-                trim(0)
+            give_back()
 
     return with_end
 

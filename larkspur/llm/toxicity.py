@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from larkspur.llm.labelled import labelled_texts
+from larkspur.llm.storage import give_back
 from larkspur.llm.textkit import NON_ALPHANUMERIC, Words, chunks, find_words, mix, powers, ranges
 
 #: Words of a window, and from one window's start to the next's, when texts are scored and when they are learnt from.
@@ -329,4 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     grams = np.concatenate([x.grams for x in lexicons])
     first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x.first) for x in lexicons]))))
     lex = Lexicon(np.concatenate([x.word for x in lexicons]), grams, first)
-    return fit(lex, np.concatenate(numbers), np.concatenate(([0], np.cumsum(np.concatenate(counts)))), label, share)
+    try:
+        return fit(lex, np.concatenate(numbers), np.concatenate(([0], np.cumsum(np.concatenate(counts)))), label, share)
+    finally:
+        give_back()
