@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import licenses, line_dedup, oracles, quality_model, toxicity, warc
+from larkspur.llm import licenses, line_dedup, oracles, quality_model, toxicity, vector_codes, warc, whitening
 from larkspur.llm.decontamination import find_contamination, hit_words
 from larkspur.llm.near_dedup import near_duplicates
 from larkspur.llm.packing import pack_documents
@@ -81,6 +81,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as codes of eight parts, with what is lost."""
+    rows, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("codebooks_sha256", F.lit(vector_codes.codebooks_digest(books)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the first four principal components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +105,8 @@ QUERIES = {
         op8_token_files,
         op9_best_fit_packing,
         op10_toxicity,
+        op11_vector_codes,
+        op13_whitening,
     )
 }
 
@@ -104,4 +117,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_license_scan": licenses.oracle(),
     "op7_warc": warc.ORACLE,
+    "op11_vector_codes": vector_codes.oracle(),
 }
