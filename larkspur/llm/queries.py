@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import licenses, line_dedup, oracles, quality_model, toxicity, vector_codes, warc, whitening
+from larkspur.llm import licenses, line_dedup, oracles, passages, quality_model, toxicity, vector_codes, warc, whitening
 from larkspur.llm.decontamination import find_contamination, hit_words
 from larkspur.llm.near_dedup import near_duplicates
 from larkspur.llm.packing import pack_documents
@@ -87,6 +87,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("codebooks_sha256", F.lit(vector_codes.codebooks_digest(books)))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without what stands earlier in the corpus, by runs of 20 words."""
+    rows = passages.without_repeats(table(spark, sf_dir, "documents"))
+    n_removed = hit_words("removed")
+    return rows.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on the first four principal components, whitened."""
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
@@ -106,6 +113,7 @@ QUERIES = {
         op9_best_fit_packing,
         op10_toxicity,
         op11_vector_codes,
+        op12_repeated_passages,
         op13_whitening,
     )
 }
@@ -118,4 +126,5 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": licenses.oracle(),
     "op7_warc": warc.ORACLE,
     "op11_vector_codes": vector_codes.oracle(),
+    "op12_repeated_passages": passages.ORACLE,
 }

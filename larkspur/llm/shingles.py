@@ -10,7 +10,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _folded(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def folded(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """A hash of the size words from each position on."""
     total = np.full(len(at), size, dtype=np.uint64)
     for j in range(size):
@@ -26,14 +26,14 @@ def windows(words: Words, size: int, short: bool = True) -> tuple[np.ndarray, np
     hashes, count = words.hashes(), np.diff(words.first)
     left = np.repeat(words.first[1:], count) - np.arange(len(hashes))
     at = np.flatnonzero(left >= size)
-    docs, out = words.doc[at], _folded(hashes, at, size)
+    docs, out = words.doc[at], folded(hashes, at, size)
     few = np.flatnonzero((count > 0) & (count < size)) if short else np.zeros(0, np.int64)
     if len(few):
         docs, out = [docs], [out]
         for n in range(1, size):
             those = few[count[few] == n]
             docs.append(those)
-            out.append(_folded(hashes, words.first[those], n))
+            out.append(folded(hashes, words.first[those], n))
         docs, out = np.concatenate(docs), np.concatenate(out)
         order = np.argsort(docs, kind="stable")
         docs, out = docs[order], out[order]
