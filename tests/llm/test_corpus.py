@@ -129,7 +129,7 @@ def test_quality_rules(spark, docs, none):
 
 def test_texts_without_common_words_go_at_any_length(spark):
     schema = "doc_id long, text string, lang string"
-    usual = [(k, "\t".join(f"{w} the {w} of" for w in words_of(60 + k, k).split()), "en") for k in range(40)]
+    usual = [(k, "\t".join(f"the {u} of {v} and {w} {w}{u}" if i % 2 else f"{u} {v} {w} {v}{u}" for i, (u, v, w) in enumerate(zip(*(words_of(60 + k, 9 * k + j).split() for j in range(3))))), "en") for k in range(40)]
     without = [(100 + n, words_of(n, n), "en") for n in (50, 120, 500, 5000)]
     few = [(200, words_of(2000, 5) + " the of and", "en")]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(usual + without + few + [(300, words_of(500, 6), "xx"), (301, words_of(500, 7), None)], schema)).collect()}
@@ -159,6 +159,11 @@ def test_a_verdict_does_not_depend_on_the_size_of_the_table(spark):
         for references in (None, whole):
             got = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame, references=references).collect()}
             assert not got[100] and not got[101] and all(got[k] for k in range(n))
+    russian = "слово и дело, " * 3 + " ".join("ж" + w.replace("a", "щ") for w in words_of(120, 3).split())
+    for n in (1, 3, 200):
+        frame = spark.createDataFrame([(k, russian, "ru") for k in range(n)] + [(900, words_of(90, 1), None)], schema)
+        got = quality_rules.quality_rules(frame).collect()
+        assert len(got) == n + 1 and all(r.kept and r.class_distance is None for r in got)
 
 
 def test_jensen_shannon(spark):
