@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.labelled import labelled_texts
-from larkspur.llm.storage import bounded, free_name, give_back, trimmed
+from larkspur.llm.labelled import SAMPLE_BYTES, labelled_texts, learnt_in_one_task
+from larkspur.llm.storage import bounded, free_name, named, trimmed
 from larkspur.llm.textkit import WHITESPACE, chunks, find_words, mix
 
 #: Hashed features.
@@ -181,18 +181,20 @@ def fit(features: Iterable[np.ndarray], label: np.ndarray, smoothing: float = 1.
     return Model(w, bias, *_logistic(margins, label))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model of at most `sample` labelled texts of each class, those whose ids hash lowest, each learnt from whole.
+def learn(texts: pa.Array, label: np.ndarray) -> Model:
+    """The model of labelled texts."""
+    return fit(_features_of(texts), label)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model of at most `sample` labelled texts of each class and sample_bytes of both, those whose ids hash lowest, each learnt from whole.
 
     Which rows are left out, and what counts where ids or labels are repeated, labelled_texts() says. With labels of one class, or
-    none, also of empty tables, every text gets the same score. The driver holds the sample: its texts, and 4 bytes for
+    none, also of empty tables, every text gets the same score. One task holds the sample: its texts, and 4 bytes for
     each distinct n-gram of a text.
     """
-    column, label, _ = labelled_texts(docs, labels, id_column, text_column, label_column, sample)
-    try:
-        return fit(_features_of(column), label)
-    finally:
-        give_back()
+    rows, _ = labelled_texts(docs, labels, id_column, text_column, label_column, sample, sample_bytes)
+    return learnt_in_one_task(bounded(rows), learn)
 
 
 def _features_of(column: pa.Array) -> Iterator[np.ndarray]:
@@ -223,7 +225,7 @@ def score_texts(docs: DataFrame, model, text_column: str = "text", columns: list
     another to keep it. An empty table gives an empty result.
     """
     columns = [c for c in columns or docs.columns if c.lower() != score_column.lower()]
-    rows = docs.select(*columns, F.col(text_column).cast("string").alias(free_name(docs, "larkspur_text")))
+    rows = docs.select(*named(columns), F.col(f"`{text_column}`").cast("string").alias(free_name(docs, "larkspur_text")))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score_column, T.DoubleType())])
     return bounded(rows).mapInArrow(trimmed(_score(docs.sparkSession.sparkContext.broadcast(model), len(columns), score_column)), schema)
 

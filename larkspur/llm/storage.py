@@ -6,13 +6,13 @@ import ctypes
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.sources.storage import new_path
 from larkspur.sources.storage import written as cut
 
-__all__ = ["bounded", "broadcast_if_small", "cut", "free_name", "give_back", "join_with_hot", "new_path", "open_fs", "tasks", "trimmed"]
+__all__ = ["bounded", "broadcast_if_small", "cut", "free_name", "give_back", "join_with_hot", "named", "new_path", "open_fs", "tasks", "trimmed"]
 
 
 def open_fs(uri: str, mode: str):
@@ -108,3 +108,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, in which a dot leads to no field."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]

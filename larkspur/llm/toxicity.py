@@ -12,14 +12,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larkspur.llm.labelled import labelled_texts
-from larkspur.llm.storage import give_back
+from larkspur.llm.labelled import SAMPLE_BYTES, labelled_texts, learnt_in_one_task
+from larkspur.llm.storage import bounded
 from larkspur.llm.textkit import NON_ALPHANUMERIC, Words, chunks, find_words, mix, powers, ranges
 
-#: Words of a window, and from one window's start to the next's, when texts are scored and when they are learnt from.
-WINDOW, STRIDE, LEARNT_STRIDE = 24, 12, 20
+#: Words of a window, and from one window's start to the next's, alike when texts are learnt from and when they are scored.
+WINDOW, STRIDE = 24, 12
 #: Widths of the inputs and of each direction's state, and rows of the two hashed tables.
 WIDTH, STATE, WORD_ROWS, CHAR_ROWS = 8, 8, 1 << 14, 1 << 15
 #: Most labelled rows of each class that are learnt from, chosen by a hash of their ids. Each is learnt from whole.
@@ -72,12 +73,12 @@ def lexicon(words: Words) -> tuple[Lexicon, np.ndarray]:
     return Lexicon(rows(start, end, 1, WORD_ROWS), np.concatenate(grams)[order], first), number.reshape(-1)
 
 
-def window_starts(first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """(text, first word) of all windows: stride apart, the last one up to the text's end; texts without words have none."""
+def window_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word) of all windows: STRIDE apart, the last one up to the text's end; texts without words have none."""
     count = np.diff(first)
-    n = np.where(count > 0, np.maximum(1, -(-(count - WINDOW) // stride) + 1), 0)
+    n = np.where(count > 0, np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1), 0)
     doc = np.repeat(np.arange(len(count)), n)
-    return doc, first[doc] + ranges(n) * stride
+    return doc, first[doc] + ranges(n) * STRIDE
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -249,7 +250,7 @@ def fit(lex: Lexicon, number: np.ndarray, first: np.ndarray, label: np.ndarray,
         net.p["out"][:] = 0
         net.p["bias"][:] = np.log((only + 0.05) / (1.05 - only))
         return net
-    doc, start = window_starts(first, LEARNT_STRIDE)
+    doc, start = window_starts(first)
     steps = np.arange(WINDOW)[:, None]
     apart = (np.arange(texts) % 8 == 0) if texts >= 64 else np.zeros(texts, dtype=bool)
     learnt = np.flatnonzero(~apart[doc])
@@ -279,8 +280,6 @@ def fit(lex: Lexicon, number: np.ndarray, first: np.ndarray, label: np.ndarray,
             inside = at < first[doc[part] + 1]
             _, g = net.gradient(lex, number[np.where(inside, at, 0)], inside, y, np.ones(len(part), np.float32))
             adam.step(g)
-    # the curve is drawn over windows as they are scored
-    doc, start = window_starts(first)
     if apart.any():
         doc, start = doc[apart[doc]], start[apart[doc]]
     logit = net.window_logits(net.embed(lex), number, first, doc, start)
@@ -308,16 +307,10 @@ def _curve(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(a, 1e-2)), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE) -> Network:
-    """A network of at most `sample` labelled texts of each class, those whose ids hash lowest, each learnt from whole.
-
-    Which rows are left out, and what counts where ids or labels are repeated, labelled_texts() says. With labels of one class, or
-    none, also of empty tables, every text gets about the same score. The driver holds the sample: its texts, and about
-    8 bytes for each of their words.
-    """
-    column, label, share = labelled_texts(docs, labels, id_column, text_column, label_column, sample)
+def learn(texts: pa.Array, label: np.ndarray, share: float | None = None) -> Network:
+    """The network of labelled texts; share: of toxic ones among all."""
     lexicons, numbers, counts, words_before = [], [], [], 0
-    for _, _, data, offsets in chunks(column):
+    for _, _, data, offsets in chunks(texts):
         words = find_words(data, offsets, NON_ALPHANUMERIC, lower=True)
         counts.append(np.diff(words.first))
         if len(words.start):
@@ -330,7 +323,15 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     grams = np.concatenate([x.grams for x in lexicons])
     first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x.first) for x in lexicons]))))
     lex = Lexicon(np.concatenate([x.word for x in lexicons]), grams, first)
-    try:
-        return fit(lex, np.concatenate(numbers), np.concatenate(([0], np.cumsum(np.concatenate(counts)))), label, share)
-    finally:
-        give_back()
+    return fit(lex, np.concatenate(numbers), np.concatenate(([0], np.cumsum(np.concatenate(counts)))), label, share)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """A network of at most `sample` labelled texts of each class and sample_bytes of both, those whose ids hash lowest, each learnt from whole.
+
+    Which rows are left out, and what counts where ids or labels are repeated, labelled_texts() says. With labels of one class, or
+    none, also of empty tables, every text gets about the same score. One task holds the sample: its texts, and about
+    8 bytes for each of their words.
+    """
+    rows, share = labelled_texts(docs, labels, id_column, text_column, label_column, sample, sample_bytes)
+    return learnt_in_one_task(bounded(rows), lambda texts, label: learn(texts, label, share))

@@ -194,21 +194,37 @@ def test_scores_are_those_of_plain_python(spark, tiny, results, name, label, tra
 def test_labelled_texts(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "two"), (3, "three"), (4, None), (None, "none"), (5, "five"), (6, "six")], "doc_id long, text string")
     marks = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 1), (None, 1), (5, 7), (6, None), (77, 1)], "doc_id long, y int")
-    texts, y, share = labelled.labelled_texts(docs, marks, "doc_id", "text", "y", 10)
-    assert sorted(zip(texts.to_pylist(), y.tolist())) == [("a", 1), ("two", 0)] and share == pytest.approx(4 / 6)
-    texts, y, _ = labelled.labelled_texts(docs.limit(0), marks.limit(0), "doc_id", "text", "y", 10)
-    assert len(texts) == len(y) == 0
+    found, share = labelled.labelled_texts(docs, marks, "doc_id", "text", "y", 10)
+    read = lambda texts, y: (texts.to_pylist(), y.tolist())
+    texts, y = labelled.learnt_in_one_task(found, read)
+    assert sorted(zip(texts, y)) == [("a", 1), ("two", 0)] and share == pytest.approx(4 / 6)
+    found, _ = labelled.labelled_texts(docs.limit(0), marks.limit(0), "doc_id", "text", "y", 10)
+    assert labelled.learnt_in_one_task(found, read) == ([], [])
+
+
+def test_the_sample_is_bounded_by_rows_and_by_bytes(spark):
+    docs = spark.createDataFrame([(k, f"{k:03d} " + "x" * 96) for k in range(200)] + [(200, "y" * 5000)], "doc_id long, text string")
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("y"))
+    for rows, size, least in ((10, 1 << 20, 10), (100, 1000, 4), (100, 1, 1)):
+        found = labelled.labelled_texts(docs, marks, "doc_id", "text", "y", rows, size)[0].collect()
+        for label in (0, 1):
+            mine = sorted((r.by, r.id, r.text) for r in found if r.label == label)
+            assert least <= len(mine) <= rows and (len(mine) == 1 or sum(len(t) for *_, t in mine) <= size // 2)
+        assert all(r.text == f"{r.id:03d} " + "x" * 96 or r.id == 200 and len(r.text) == 5000 for r in found)
 
 
 def test_long_texts_are_learnt_from_whole(spark, monkeypatch):
     rows = [(1, words_of(30_000, 1)), (2, words_of(9_000, 2) + " end"), (3, "short")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    found, _ = labelled.labelled_texts(frame, marks, "doc_id", "text", "quality", 10)
+    texts, y = labelled.learnt_in_one_task(found, lambda texts, y: (texts, y))
+    assert sorted(texts.to_pylist()) == sorted(t for _, t in rows)
     seen = {}
     monkeypatch.setattr(toxicity, "fit", lambda lex, number, first, *_: seen.update(words=np.diff(first)))
     monkeypatch.setattr(quality_model, "fit", lambda features, label: seen.update(features=list(map(len, features))))
-    toxicity.train(frame, marks)
-    quality_model.train(frame, marks)
+    toxicity.learn(texts, y)
+    quality_model.learn(texts, y)
     assert sorted(seen["words"].tolist()) == [1, 9_001, 30_000]
     whole = [quality_model.ngram_features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[1] for _, t in rows]
     assert sorted(seen["features"]) == sorted(map(len, whole))
