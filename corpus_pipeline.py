@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, line_dedup, near_dedup, packing, quality_model
 from larkspur.llm.queries import TOKENIZER, table
-from larkspur.llm.storage import cut, free_name
+from larkspur.llm.storage import cut, free_name, named
 
 #: Least quality score of a document that stays.
 MIN_QUALITY = 0.7
@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     fair, score = ~quality_model.held_out(), free_name(docs, "larkspur_score")
     model = quality_model.train(docs.where(fair), table(spark, sf_dir, "labels").where(fair))
-    return quality_model.score_texts(docs, model, score_column=score).where(F.col(score) >= MIN_QUALITY).select(*docs.columns)
+    return quality_model.score_texts(docs, model, score_column=score).where(F.col(score) >= MIN_QUALITY).select(*named(docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

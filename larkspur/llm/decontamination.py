@@ -1,8 +1,8 @@
 """Benchmark decontamination: test n-grams as a broadcast hash set, token windows scanned, hits verified.
 
-The benchmark's windows are dealt into blocks of bounded size. A block is broadcast, one pass over the
-documents looks all their windows up in it, and what it finds is added to what passes before have found.
-Usually there is one block.
+The benchmark's windows are dealt into blocks of bounded size. A block is broadcast, and one pass over the
+documents looks all their windows up in it. Usually there is one block. For more, the documents are written once, each
+block leaves a narrow table of the rows that it hits, and these are merged at the end.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import shingles as sh
-from larkspur.llm.storage import bounded, cut, trimmed
+from larkspur.llm.storage import bounded, cut, named, own_names, plain_names, trimmed
 from larkspur.llm.textkit import NON_ALPHANUMERIC, chunks, find_words, lists
 
 #: Most (item, window) pairs of a block, about. A pair takes its window's text, if no other pair of the block has it, and some 30 bytes.
 BLOCK_WINDOWS = 500_000
+#: Most bytes of the windows' texts of a block, about.
+BLOCK_BYTES = 64 << 20
 
 
 def _benchmark_windows(size: int):
@@ -84,8 +86,11 @@ class _Block:
         self.sizes = {int(n): _Windows(rows.filter(pa.array(sizes == n)).select(["item", "hash", "window"])) for n in np.unique(sizes)}
 
 
-def _scan(block, with_state: bool):
-    kind = pa.struct([("low", pa.int32()), ("high", pa.int32())])
+_KIND = pa.struct([("low", pa.int32()), ("high", pa.int32())])
+
+
+def _scan(block, with_text: bool):
+    """Batches with three columns more, what the block finds in each text; the text goes unless with_text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = block.value
@@ -125,13 +130,9 @@ def _scan(block, with_state: bool):
                         some = np.unique(np.concatenate(items))
                         met.update(known.sizes[n].names.take(pa.array(some[some >= 0])).to_pylist())
                     items_out.append(list(met))
-            if with_state:
-                for i, (spans, names) in enumerate(zip(batch.column("larkspur_spans").to_pylist(), batch.column("larkspur_items").to_pylist())):
-                    spans_out[i] += spans
-                    items_out[i] = list({*items_out[i], *names})
             spans_out = [_merged(s) for s in spans_out]
-            keep = [i for i, name in enumerate(batch.schema.names) if name not in ("larkspur_n", "larkspur_spans", "larkspur_items")]
-            columns = [batch.column(i) for i in keep] + [pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(spans_out, pa.list_(kind)), pa.array(items_out, pa.list_(pa.string()))]
+            keep = [i for i in range(batch.num_columns) if with_text or i != places]
+            columns = [batch.column(i) for i in keep] + [pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(spans_out, pa.list_(_KIND)), pa.array(items_out, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in keep] + ["larkspur_n", "larkspur_spans", "larkspur_items"])
 
     return run
@@ -159,16 +160,30 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_column: str, item_column
     spark = docs.sparkSession
     given = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text"))
     windows = cut(bounded(given).mapInArrow(trimmed(_benchmark_windows(window)), "item string, size int, hash long, window string").distinct(), "benchmark-windows")
-    blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    rows = docs.select(*columns, F.col(text_column).cast("string").alias("larkspur_text"))
-    schema = T.StructType([*rows.schema.fields, *_MARKS])
+    count, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    # pairs are dealt, so a block is bounded however large the benchmark is and however many items share a window
+    blocks = max(1, -(-count // BLOCK_WINDOWS), -(-size // BLOCK_BYTES))
+    of_block = lambda k: spark.sparkContext.broadcast(_Block(windows.where(F.pmod(F.xxhash64("hash", "item"), F.lit(blocks)) == k).toArrow()))
+    rows = docs.select(*named(columns), F.col(f"`{text_column}`").cast("string").alias("larkspur_text"))
+    if blocks == 1:
+        return bounded(rows).mapInArrow(trimmed(_scan(of_block(0), True)), T.StructType([*rows.schema.fields, *_MARKS]))
+    rows = cut(rows.withColumn("larkspur_row", F.monotonically_increasing_id()), "documents")
+    found, schema = None, T.StructType([T.StructField("larkspur_row", T.LongType()), *_MARKS])
     for k in range(blocks):
-        # pairs are dealt, so a block is bounded however large the benchmark is and however many items share a window
-        block = spark.sparkContext.broadcast(_Block(windows.where(F.pmod(F.xxhash64("hash", "item"), F.lit(blocks)) == k).toArrow()))
-        rows = bounded(rows).mapInArrow(trimmed(_scan(block, k > 0)), schema)
-        if k + 1 < blocks:
-            rows = cut(rows, f"contamination-{k}")
-    return rows
+        block = of_block(k)
+        marks = bounded(rows.select("larkspur_row", "larkspur_text")).mapInArrow(trimmed(_scan(block, False)), schema)
+        marks = cut(marks.where("size(larkspur_spans) > 0") if k else marks, f"contamination-{k}")
+        found = marks if found is None else found.unionAll(marks)
+        block.destroy()
+    # a row has one mark of each block at most
+    marks = found.groupBy("larkspur_row").agg(F.max("larkspur_n").alias("larkspur_n"), F.flatten(F.collect_list("larkspur_spans")).alias("larkspur_spans"), F.array_distinct(F.flatten(F.collect_list("larkspur_items"))).alias("larkspur_items"))
+    return rows.join(marks.mapInArrow(_with_merged_spans, schema), "larkspur_row").drop("larkspur_row")
+
+
+def _with_merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("larkspur_spans")
+        yield batch.set_column(at, "larkspur_spans", pa.array([_merged(s) for s in batch.column(at).to_pylist()], pa.list_(_KIND)))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 10, columns: list[str] | None = None) -> DataFrame:
@@ -184,7 +199,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_column: str =
     """
     names = {"larkspur_n": "n_words", "larkspur_spans": "spans", "larkspur_items": "items"}
     columns = [c for c in columns or docs.columns if c.lower() not in names.values()]
-    return _marked(docs, benchmark, text_column, item_column, item_text_column, window, columns).drop("larkspur_text").withColumnsRenamed(names)
+    plain, of = plain_names(docs)
+    marked = _marked(plain, benchmark, of[text_column], item_column, item_text_column, window, [of[c] for c in columns])
+    return own_names(marked.withColumnsRenamed(names), {c: of[c] for c in columns}, *names.values())
 
 
 def hit_words(spans: str = "spans"):
@@ -195,10 +212,12 @@ def hit_words(spans: str = "spans"):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = 10) -> DataFrame:
     """The rows of docs that no benchmark window occurs in, with all columns of docs, whatever their names.
 
-    Rows of null or empty texts stay; repeated rows stay or go alike. An empty benchmark drops nothing.
+    Rows of null or empty texts stay; repeated rows stay or go alike; a very long text is scanned whole, in one task. Items without an id
+    count. An empty benchmark drops nothing, and an empty table gives an empty result.
     """
-    marked = _marked(docs, benchmark, text_column, item_column, item_text_column, window, docs.columns)
-    return marked.where(F.size("larkspur_spans") == 0).select(*docs.columns)
+    plain, of = plain_names(docs)
+    marked = _marked(plain, benchmark, of[text_column], item_column, item_text_column, window, list(of.values()))
+    return own_names(marked.where(F.size("larkspur_spans") == 0), of)
 
 
 def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +243,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_column: str = "text
     """All rows of docs, with the words that benchmark windows cover, and what stands between them, cut out.
 
     The columns are those of docs, whatever their names, with the text as a string. Null texts stay null, and repeated rows are all
-    treated alike. What is left may by chance form a window again that wasn't there before.
+    treated alike; a very long text is treated whole, in one task. What is left may by chance form a window again that wasn't there before. An
+    empty benchmark changes nothing, and an empty table gives an empty result.
     """
-    marked = _marked(docs, benchmark, text_column, item_column, item_text_column, window, [c for c in docs.columns if c != text_column])
-    rows = marked.select(*[c for c in docs.columns if c != text_column], "larkspur_text", "larkspur_spans")
-    schema = T.StructType([*rows.schema.fields])
-    return bounded(rows).mapInArrow(trimmed(_without_spans), schema).withColumnRenamed("larkspur_text", text_column).select(*docs.columns)
+    plain, of = plain_names(docs)
+    others = [n for c, n in of.items() if c != text_column]
+    rows = _marked(plain, benchmark, of[text_column], item_column, item_text_column, window, others).select(*others, "larkspur_text", "larkspur_spans")
+    cleaned = bounded(rows).mapInArrow(trimmed(_without_spans), rows.schema)
+    return own_names(cleaned, of | {text_column: "larkspur_text"})
 
 
 def contamination_by_hand(text: str | None, items: dict[str, str | None], window: int = 10) -> tuple[int, int, int, str]:

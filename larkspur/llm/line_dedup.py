@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import HOT_KEYS, cut, free_name, join_with_hot
+from larkspur.llm.storage import HOT_KEYS, cut, free_name, join_with_hot, named, own_names, plain_names
 
 #: A line goes if it is on more than this share of a host's pages, and on at least so many of them: on a host of one page every line is on all pages.
 MAX_RATIO, MIN_LINE_PAGES = 0.05, 3
@@ -72,7 +72,8 @@ def drop_boilerplate(docs: DataFrame, host_column: str = "source", text_column:
     max_ratio of all the host's pages, and at least min_line_pages. Null texts stay null, without lines; a very long text is split
     whole. Columns of docs that are named as in counts are left out for these. An empty table gives an empty result.
     """
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in {n.lower() for n in counts}])
+    docs, of = plain_names(docs.select(*named([c for c in docs.columns if c.lower() not in {n.lower() for n in counts}])))
+    host_column, text_column = of[host_column], of[text_column]
     hosts = cut(boilerplate_lines(docs, host_column, text_column, max_ratio, min_line_pages), "boilerplate")
     total = hosts.agg(F.sum(F.size("boilerplate"))).first()[0] or 0
     text = F.col(text_column).cast("string")
@@ -82,10 +83,10 @@ def drop_boilerplate(docs: DataFrame, host_column: str = "source", text_column:
     rows = rows.withColumn("larkspur_hit", hit)
     found = F.size("larkspur_hit") > 0  # null where the host has none
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("larkspur_hit", _digest(x)), F.lit(False)))
-    rows = rows.withColumn("larkspur_kept", F.when(found, kept)).withColumn(counts[0], F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"))
-    rows = rows.withColumn(counts[1], F.when(found, F.col(counts[0]) - F.size("larkspur_kept")).otherwise(0).cast("long"))
+    rows = rows.withColumn("larkspur_kept", F.when(found, kept)).withColumn("larkspur_before", F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"))
+    rows = rows.withColumn("larkspur_dropped", F.when(found, F.col("larkspur_before") - F.size("larkspur_kept")).otherwise(0).cast("long"))
     rows = rows.withColumn(text_column, F.when(found, F.array_join("larkspur_kept", "\n")).otherwise(F.col(text_column)))
-    return rows.drop("larkspur_boilerplate", "larkspur_hit", "larkspur_kept")
+    return own_names(rows, of | {counts[0]: "larkspur_before", counts[1]: "larkspur_dropped"})
 
 
 def without_boilerplate(docs: DataFrame, host_column: str = "source", text_column: str = "text", length_column: str | None = None, **more) -> DataFrame:
@@ -97,8 +98,9 @@ def without_boilerplate(docs: DataFrame, host_column: str = "source", text_colum
     rows = drop_boilerplate(docs, host_column, text_column, counts=counts, **more)
     if length_column:
         kind = docs.schema[length_column].dataType
-        rows = rows.withColumn(length_column, F.when(F.col(counts[1]) > 0, F.length(text_column).cast(kind)).otherwise(F.col(length_column)))
-    return rows.select(*docs.columns)
+        text, length = named([text_column, length_column])
+        rows = rows.withColumn(length_column, F.when(F.col(counts[1]) > 0, F.length(text).cast(kind)).otherwise(length))
+    return rows.select(*named(docs.columns))
 
 
 #: DuckDB SQL for (doc_id, n_lines, n_dropped, text_md5) of documents with the source as host

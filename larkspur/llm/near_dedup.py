@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm import shingles as sh
 from larkspur.llm.components import connected_components
-from larkspur.llm.storage import bounded, broadcast_if_small, cut, free_name, join_with_hot, trimmed
+from larkspur.llm.storage import bounded, broadcast_if_small, cut, join_with_hot, own_names, plain_names, trimmed
 from larkspur.llm.textkit import WHITESPACE, chunks, find_words, lists
 
 #: Sets of fewer elements are sketched together, as they need many rounds of few elements.
@@ -197,9 +197,11 @@ def near_duplicate_rows(docs: DataFrame, id_column: str = "doc_id", text_column:
     # 3: what is left of buckets with several components
     open_ = member.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "members", F.coalesce("component", "doc").alias("component")).where("members > 2")
     open_ = cut(open_, "open")
-    parts = open_.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.sum(F.xxhash64("doc") % F.lit(1 << 40)).alias("who"))
-    todo = parts.groupBy("key").agg(F.count("*").alias("components"), F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.sum("who").alias("who"), F.max(F.struct("members", "weight", "component")).alias("main")).where("components > 1")
-    todo = todo.groupBy("who", "members", "weight").agg(F.min(F.struct("key", "main")).alias("x"))  # equal member lists need it once
+    # a list of members is known by two sums of 64-bit hashes, as decimals, which don't overflow
+    who = [F.sum(F.xxhash64("doc", F.lit(salt)).cast("decimal(20,0)")).alias(f"who{salt}") for salt in (0, 1)]
+    parts = open_.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), *who)
+    todo = parts.groupBy("key").agg(F.count("*").alias("components"), F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.sum("who0").alias("who0"), F.sum("who1").alias("who1"), F.max(F.struct("members", "weight", "component")).alias("main")).where("components > 1")
+    todo = todo.groupBy("who0", "who1", "members", "weight").agg(F.min(F.struct("key", "main")).alias("x"))  # equal member lists need it once
     rest, rest_weight = F.col("members") - F.col("x.main.members"), F.col("weight") - F.col("x.main.weight")
     # the largest component needs no pairs of its own: if the others are few, they meet each block of it
     few = (2 * rest <= BLOCK_SETS) & (2 * rest_weight <= BLOCK_SHINGLES)
@@ -250,7 +252,8 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     share are told apart by the texts' sets; of rows alike in id and set one stays. All columns of docs come
     back, whatever their names. An empty table gives an empty result.
     """
-    key = free_name(docs, "larkspur_id")
+    docs, names = plain_names(docs)
+    id_column, text_column, key = names[id_column], names[text_column], "larkspur_id"
     found = cut(near_duplicate_rows(docs, id_column, text_column, shingle_words, **more), "near-duplicate-rows")
     per_id = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n"), F.count_if("keeper").alias("kept"))
     settled = cut(per_id.where("n > 1 or kept = 0"), "settled-ids")
@@ -259,7 +262,7 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     shared = settled.where("n > 1").select(key)
     without = found.where("doc_id is null").isEmpty()
     if without and shared.isEmpty():
-        return plain
+        return own_names(plain, names)
     # rows that their id doesn't tell apart
     odd = docs.where(of.isNull()).unionByName(docs.join(broadcast_if_small(shared, BROADCAST_IDS), of == F.col(key), "left_semi"))
     rows = odd.select("*", odd[text_column].cast("string").alias("larkspur_text"))
@@ -268,4 +271,4 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     some = rows.where("larkspur_n > 0").withColumn(key, F.col(id_column).cast("long")).dropDuplicates([key, "larkspur_d1", "larkspur_d2"])
     keepers = found.where("keeper and n_shingles > 0").select(F.col("doc_id").alias("larkspur_k"), F.col("d1").alias("larkspur_k1"), F.col("d2").alias("larkspur_k2"))
     some = some.join(keepers, F.col(key).eqNullSafe(F.col("larkspur_k")) & (F.col("larkspur_d1") == F.col("larkspur_k1")) & (F.col("larkspur_d2") == F.col("larkspur_k2")), "left_semi")
-    return plain.unionByName(rows.where("larkspur_n = 0").select(*docs.columns)).unionByName(some.select(*docs.columns))
+    return own_names(plain.unionByName(rows.where("larkspur_n = 0").select(*docs.columns)).unionByName(some.select(*docs.columns)), names)

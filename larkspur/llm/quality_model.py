@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.labelled import SAMPLE_BYTES, labelled_texts, learnt_in_one_task
-from larkspur.llm.storage import bounded, free_name, named, trimmed
+from larkspur.llm.storage import bounded, own_names, plain_names, trimmed
 from larkspur.llm.textkit import WHITESPACE, chunks, find_words, mix
 
 #: Hashed features.
@@ -225,9 +225,12 @@ def score_texts(docs: DataFrame, model, text_column: str = "text", columns: list
     another to keep it. An empty table gives an empty result.
     """
     columns = [c for c in columns or docs.columns if c.lower() != score_column.lower()]
-    rows = docs.select(*named(columns), F.col(f"`{text_column}`").cast("string").alias(free_name(docs, "larkspur_text")))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score_column, T.DoubleType())])
-    return bounded(rows).mapInArrow(trimmed(_score(docs.sparkSession.sparkContext.broadcast(model), len(columns), score_column)), schema)
+    plain, of = plain_names(docs)
+    kept = {c: of[c] for c in columns}
+    rows = plain.select(*kept.values(), F.col(of[text_column]).cast("string").alias("text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    scored = bounded(rows).mapInArrow(trimmed(_score(docs.sparkSession.sparkContext.broadcast(model), len(columns), "score")), schema)
+    return own_names(scored, kept | {score_column: "score"})
 
 
 def held_out(id_column: str = "doc_id"):

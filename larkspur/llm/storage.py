@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.sources.storage import new_path
 from larkspur.sources.storage import written as cut
 
-__all__ = ["bounded", "broadcast_if_small", "cut", "free_name", "give_back", "join_with_hot", "named", "new_path", "open_fs", "tasks", "trimmed"]
+__all__ = ["bounded", "broadcast_if_small", "cut", "free_name", "give_back", "join_with_hot", "named", "new_path", "open_fs", "own_names", "plain_names", "tasks", "trimmed"]
 
 
 def open_fs(uri: str, mode: str):
@@ -113,3 +113,14 @@ def free_name(df: DataFrame, name: str) -> str:
 def named(columns: list[str]) -> list[Column]:
     """Columns by their whole names, in which a dot leads to no field."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns in0, in1 and so on, and which of them each column is: whatever the names are, helper columns don't clash with them."""
+    names = {c: f"in{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def own_names(df: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """The columns of plain_names(), and then those in more, by their own names."""
+    return df.select(*names.values(), *more).toDF(*names, *more)

@@ -175,8 +175,8 @@ def test_jensen_shannon(spark):
 def test_decontamination(spark, docs, none):
     items = {"7": PROSE, "10": "Two  WORDS!", "9": "", "8": None, "5": " ".join(words_of(30_000, 1).split()[500:530]), "6": "zzz"}
     benchmark = spark.createDataFrame([(int(k), t) for k, t in items.items()] + [(None, PROSE)], "item_id long, text string")
-    for block in (500_000, 7):  # also in many blocks
-        decontamination.BLOCK_WINDOWS = block
+    for block, size in ((500_000, 64 << 20), (7, 64 << 20), (500_000, 1000)):  # also in many blocks, by number or by size
+        decontamination.BLOCK_WINDOWS, decontamination.BLOCK_BYTES = block, size
         got = decontamination.find_contamination(docs, benchmark)
         assert got.columns == [*docs.columns, "n_words", "spans", "items"]
         rows = got.withColumn("n_hit", decontamination.hit_words()).collect()

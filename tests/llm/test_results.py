@@ -16,7 +16,7 @@ from larkspur.llm.textkit import NON_ALPHANUMERIC, find_words
 from tests.llm.test_corpus import PROSE, lines_by_hand, lowered, odd_documents, prose_of, words_of
 
 M = (1 << 64) - 1
-CLASHING = "score double, spans string, items string, n_words string, lines_before long, lines_dropped long, larkspur_score double, component_id long"
+CLASHING = "score double, spans string, items string, n_words string, lines_before long, lines_dropped long, larkspur_score double, component_id long, `a.b` string, larkspur_text string, larkspur_spans long, larkspur_n string, larkspur_hit long, larkspur_host string, larkspur_boilerplate string, in0 string, in1 long"
 
 
 def mixed(x):
@@ -116,7 +116,7 @@ def tiny(spark, tmp_path_factory):
     near = prose_of(90, 999)
     rows += [(None, near, "en", "h0", 1), (None, near, "en", "h0", 1), (None, near + " more", None, None, 1), (3000, near + " again", "en", "h0", 1), (3000, near + " again", "en", "h0", 1), (3001, "", "en", "h0", 0), (3001, "", "en", "h0", 0)]
     rows += [(4000 + k, f"menu of {k}\nhome and away\n{prose_of(60, 300 + k)}", "en", "h9", 1) for k in range(6)]
-    frame = spark.createDataFrame([(*r, 0.5, "a", "b", "c", 1, 2, 0.25, 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING)
+    frame = spark.createDataFrame([(*r, 0.5, "a", "b", "c", 1, 2, 0.25, 9, "d", "e", 3, "f", 4, "g", "h", "i", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING)
     frame.repartition(3).write.parquet(f"{folder}/documents.parquet")
     items = [(7, PROSE, 1), (10, "Two  WORDS!", 1), (9, "", 1), (8, None, 1), (11, prose_of(40, 5), 1), (None, prose_of(41, 6), 1), (7, PROSE, 1)]
     spark.createDataFrame(items, "item_id long, text string, n_words int").write.parquet(f"{folder}/benchmark.parquet")
