@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.dates import long_date, stage
+from larkspur.operators.mutations import one_per_key
 
 #: Fixed value: the subject of alert mails.
 SUBJECT = "🔔 تنبيه بقرب انتهاء وثيقة موظف"
@@ -51,16 +52,27 @@ def alert_line(pos: Column) -> Column:
     return F.concat(pos.cast("string"), F.lit(". "), F.concat_ws(" — ", "employee_name", "type_label", remaining_clause(F.col("stage"), F.col("remaining_days"))), urgent)
 
 
+def mailing_list(recipients: DataFrame, templates: DataFrame) -> DataFrame:
+    """Each recipient's address once, with the columns of its template, and known, whether there is one.
+
+    Both are short lists; longer ones are refused, and so is a template list that has an address twice.
+    """
+    for rows, what in ((recipients, "recipients"), (templates, "templates")):
+        if rows.limit(MOST_RECIPIENTS + 1).count() > MOST_RECIPIENTS:
+            raise ValueError(f"more than {MOST_RECIPIENTS} {what}")
+    people = recipients.select("email").where("email is not null").distinct()
+    return people.join(one_per_key(templates, ["email"]).withColumn("known", F.lit(True)), "email", "left").fillna(False, ["known"])
+
+
 def alert_mails(alerts: DataFrame, recipients: DataFrame, templates: DataFrame) -> DataFrame:
     """The mails' lines: email, subject, kind (single or batch), pos, line; error where a recipient has no template.
 
-    alerts need pos. One alert makes a detailed mail, more make a list. A mail stays a table of lines, so that it may have any number.
+    alerts need pos. One alert makes a detailed mail, more make a list. A mail stays a table of lines; letters.alert_letters() joins them.
     """
-    if recipients.limit(MOST_RECIPIENTS + 1).count() > MOST_RECIPIENTS:
-        raise ValueError(f"more than {MOST_RECIPIENTS} recipients")
+    people = mailing_list(recipients, templates)
     total = alerts.agg(F.count("*").alias("n"))
-    rows = alerts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(recipients.select("email").join(templates, "email", "left")))
+    rows = alerts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(people.select("email", "known")))
     single = F.concat_ws(" — ", "employee_name", "type_label", long_date(F.col("expiry")), remaining_clause(F.col("stage"), F.col("remaining_days")))
-    error = F.when(F.col("greeting").isNull(), F.concat(F.lit("no template for "), F.col("email")))
+    error = F.when(~F.col("known"), F.concat(F.lit("no template for "), F.col("email")))
     kind = F.when(F.col("n") == 1, "single").otherwise("batch")
     return rows.select("email", F.lit(SUBJECT).alias("subject"), kind.alias("kind"), "pos", F.when(error.isNull(), F.when(F.col("n") == 1, single).otherwise(alert_line(F.col("pos")))).alias("line"), error.alias("error"))

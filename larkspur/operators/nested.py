@@ -16,3 +16,8 @@ def nest(parents: DataFrame, children: DataFrame, key: str, order: str, into: st
 def fold_map(rows: DataFrame, key: str, value: str) -> DataFrame:
     """A settings table as one row with a map; meant for tables of few keys."""
     return rows.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("settings"))
+
+
+def setting(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """The one value of a setting, or no row; the predicate reaches the scan."""
+    return rows.where(F.col(key) == F.lit(name)).select(value).limit(1)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Bytes of a document, images of it, pixels of an image, and candidates that are tried.
-MOST_BYTES, MOST_IMAGES, MOST_PIXELS, MOST_TRIED = 20 << 20, 24, 4_000_000, 8
+#: Bytes of a document, images of it, pixels of an image, candidates that are tried, and characters of a text.
+MOST_BYTES, MOST_IMAGES, MOST_PIXELS, MOST_TRIED, MOST_TEXT = 20 << 20, 24, 4_000_000, 8, 4096
 
 _OBJECT = re.compile(rb"\d+\s+\d+\s+obj(.*?)endobj", re.S)
 _BODY = re.compile(rb"stream\r?\n?(.*?)endstream", re.S)
@@ -98,3 +99,49 @@ def rgba(pixels: bytes, channels: int) -> bytes:
     """Gray or RGB pixels with all four channels."""
     some = np.frombuffer(pixels, np.uint8).reshape(-1, channels)
     return np.concatenate((np.broadcast_to(some, (len(some), 3)), np.full((len(some), 1), 255, np.uint8)), axis=1).tobytes()
+
+
+class _Attempts:
+    """A table function of a document's bytes: a row for each candidate that is tried, up to the first whose code can be read."""
+
+    decode: Callable[[bytes, int, int], str | None]
+
+    def eval(self, content: bytes):
+        if content is None or not content.startswith(b"%PDF-") or len(content) <= 5 or len(content) > MOST_BYTES:
+            return
+        found = enumerate(images_of(content))
+        ranked = sorted(found, key=lambda x: (abs(x[1][0] / x[1][1] - 1), x[1][0] * x[1][1], x[0]))[:MOST_TRIED]
+        for pos, (image, (width, height, channels, pixels)) in enumerate(ranked, 1):
+            try:
+                text = self.decode(rgba(pixels[: width * height * channels], channels), width, height)
+            except Exception as e:  # a decoder that fails ends the search, and the document stays without a text
+                yield pos, image, None, f"{type(e).__name__}: {e}"[:200]
+                return
+            text = (text or "").strip()[:MOST_TEXT] if isinstance(text, str) else ""
+            yield pos, image, text or None, None
+            if text:
+                return
+
+
+_ATTEMPT = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("image", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def attempts(documents: DataFrame, decode: Callable[[bytes, int, int], str | None]) -> DataFrame:
+    """documents with pos, image, text and error of each candidate that is tried: the squarest first, then the smallest, up to the first that has a text.
+
+    decode(rgba, width, height) reads the code of an image, or gives None. The images are made inside the table function, one document at a time, and never leave it.
+    """
+    kind = type("Attempts", (_Attempts,), {"decode": staticmethod(decode)})
+    return documents.lateralJoin(F.udtf(kind, returnType=_ATTEMPT)(F.col("content").outer()))
+
+
+def first_texts(documents: DataFrame, decode: Callable[[bytes, int, int], str | None], key: str = "doc_id") -> DataFrame:
+    """key, tried (candidates), image and text of the first that was read, and error, for each document; a document without any has nulls.
+
+    documents: key and content. A key that several documents have counts once, with the first success of all.
+    """
+    rows = attempts(documents.select(key, "content"), decode)
+    read = rows.groupBy(key).agg(F.count("*").alias("tried"), F.min_by(F.struct("image", "text"), F.when(F.col("text").isNotNull(), F.col("pos"))).alias("first"), F.max("error").alias("error"))
+    rows = documents.select(key).distinct().join(read, key, "left")
+    read_at = F.col("first.text").isNotNull()
+    return rows.select(key, F.coalesce("tried", F.lit(0)).alias("tried"), F.when(read_at, F.col("first.image")).alias("image"), F.col("first.text").alias("text"), "error")

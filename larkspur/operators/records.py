@@ -87,5 +87,18 @@ def lookup(rows: DataFrame, column: str, value) -> DataFrame:
 
 
 def ticket_lookup(tickets: DataFrame, key: str) -> DataFrame:
-    """The ticket of an id, if the key is digits alone, or else of a number."""
-    return lookup(tickets, "id", int(key)) if key.isascii() and key.isdigit() else lookup(tickets, "ticket_no", key)
+    """The ticket of an id, if the key is digits alone, or else of a number. Digits that no id can have find nothing."""
+    if not (key.isascii() and key.isdigit()):
+        return lookup(tickets, "ticket_no", key)
+    return lookup(tickets, "id", int(key)) if int(key) < 1 << 63 else tickets.where(F.lit(False))
+
+
+def permit_lookup(permits: DataFrame, permit_no: str, mapped: bool = True) -> DataFrame:
+    """The permit of a number, as permit_records() shows it, or its row as it is."""
+    found = lookup(permits, "permit_no", permit_no)
+    return permit_records(found) if mapped else found
+
+
+def code_tag(text: Column) -> Column:
+    """The tag of the image that is drawn of a code's text, in quotes: 16 digits of its SHA-1; null for no text."""
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit('"qr-'), F.substring(F.sha1(text), 1, 16), F.lit('"')))

@@ -67,8 +67,32 @@ def summary(tickets: DataFrame, today: str) -> DataFrame:
 
 
 def timeline(events: DataFrame) -> DataFrame:
-    """Events with pos, their place in their ticket."""
-    return events.withColumn("pos", F.row_number().over(Window.partitionBy("ticket_id").orderBy("id")))
+    """Events with pos, their place in their ticket: by their time, if they have one, and then by id. An event without a time stands after those with one."""
+    order = [F.col("at").asc_nulls_last(), F.col("id").asc()] if "at" in events.columns else [F.col("id").asc()]
+    return events.withColumn("pos", F.row_number().over(Window.partitionBy("ticket_id").orderBy(*order)))
+
+
+#: What is shown of a ticket besides live values, in order, and of an event.
+TICKET_FIELDS = ["ticket_no", "title", "description", "type", "priority", "status", "counterparty", "employee_eid", "employee_iqama_at_creation", "created_by_id", "created_by_name", "assignee_id", "opened_at", "last_followup_at", "follow_up_date", "closed_at", "notes"]
+EVENT_FIELDS = ["kind", "body", "from_value", "to_value", "actor_id", "actor_name", "at"]
+
+
+def ticket_records(tickets: DataFrame, employees: DataFrame, users: DataFrame) -> DataFrame:
+    """All that is shown of tickets: their id as text, TICKET_FIELDS with the follow-up date as text, is_closed, and the live values: employee_exists, employee_name, iqama, assignee_name."""
+    rows = ticket_list(tickets, employees, users)
+    shown = [F.date_format(c, "yyyy-MM-dd").alias(c) if c == "follow_up_date" else F.col(c) for c in TICKET_FIELDS]
+    return rows.select(F.col("id").cast("string").alias("id"), *shown, "is_closed", "employee_exists", "employee_name", "iqama", "assignee_name")
+
+
+def with_events(tickets: DataFrame, events: DataFrame) -> DataFrame:
+    """tickets with events, an array of all that is shown of their events, ordered by time and then id; empty for a ticket without any.
+
+    An event without a time stands after those with one. Events of tickets that aren't there are left out. One shuffle of the events by ticket.
+    """
+    shown = F.struct(F.col("at").isNull().alias("late"), F.col("at").alias("on"), F.col("id").alias("number"), F.struct(F.col("id").cast("string").alias("id"), *EVENT_FIELDS).alias("event"))
+    lists = events.groupBy(F.col("ticket_id").alias("larkspur_ticket")).agg(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["event"]).alias("events"))
+    rows = tickets.join(lists, F.col("id") == F.col("larkspur_ticket"), "left").drop("larkspur_ticket")
+    return rows.withColumn("events", F.coalesce("events", F.array().cast(lists.schema["events"].dataType)))
 
 
 def numbered(tickets: DataFrame, last: DataFrame | None = None) -> DataFrame:
@@ -164,6 +188,80 @@ def event(ticket: Column, kind: Column, at: Column, body: Column, from_value: Co
     return [ticket.alias("ticket_id"), one_of(kind, EVENT_KINDS, "edited").alias("kind"), at.alias("at"), clean(body).alias("body"), clean(from_value, 200).alias("from_value"), clean(to_value, 200).alias("to_value")]
 
 
+def _event_row(ticket: Column, seq: int, kind: str, at: Column, body: Column | None = None, from_value: Column | None = None, to_value: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    columns = event(ticket, F.lit(kind), at, none if body is None else body, none if from_value is None else from_value, none if to_value is None else to_value)
+    return F.struct(*columns, F.lit(seq).alias("seq"), *[F.col(c).cast("string").alias(c) for c in ACTOR])
+
+
+#: Who an event is by.
+ACTOR = ["actor_id", "actor_name", "actor_email"]
+
+
+def creation(inputs: DataFrame, employees: DataFrame, last: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tickets made, their events, rejects: id and outcome) of inputs as created() takes them, with the actor's id, name and email.
+
+    Each ticket made has one event, that it was created, which names its number. A request that is refused takes no number and leaves no event.
+    """
+    rows = created(inputs, employees, last)
+    made = rows.where("outcome = 'created'")
+    text = F.lit(None).cast("string")
+    events = made.select(_event_row(F.col("id"), 0, "created", F.col("opened_at"), text, text, F.col("ticket_no")).alias("e")).select("e.*")
+    return made.drop("outcome", *ACTOR), events, rows.where("outcome != 'created'").select("id", "outcome")
+
+
+def follow_ups(tickets: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tickets after the notes, the events that they make, rejects: id and outcome): all of a note or nothing of it.
+
+    notes: id, ticket_id, at, body, has_ and new_ of status and follow_up_date (texts), and the actor's id, name and email. A note needs a ticket that
+    exists, a text, and a known status if it gives one. It makes an event of its own, and stamps the ticket's last_followup_at; the status and the date that it gives change the
+    ticket and make their events, and closing or reopening sets or clears closed_at. A date of another shape, or null, clears the ticket's.
+
+    Notes of one ticket take effect in the order of their times and ids, each upon what those before it left: what a field was before a note is
+    the last value given before, or the ticket's own. A note without a time comes first.
+    """
+    t = tickets.select(F.col("id").alias("t_id"), F.col("status").alias("t_status"), F.col("follow_up_date").cast("string").alias("t_date"))
+    rows = notes.join(t, F.col("ticket_id") == F.col("t_id"), "left")
+    given = lambda c: F.coalesce(F.col(f"has_{c}"), F.lit(False))
+    bad = given("status") & ~F.coalesce(F.col("new_status").isin(STATUSES), F.lit(False))
+    outcome = F.when(F.col("t_id").isNull(), "no_such_ticket").when(clean(F.col("body")).isNull(), "no_text").when(bad, "unknown_status").otherwise("added")
+    rows = rows.withColumn("outcome", outcome)
+    date = F.when(is_iso(F.col("new_follow_up_date")), F.col("new_follow_up_date"))
+    order = Window.partitionBy("ticket_id").orderBy(F.col("at").asc_nulls_first(), F.col("id").asc())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # a value given, even null, is a struct; none given is no struct
+    added = rows.where("outcome = 'added'").withColumns({"gave_status": F.when(given("status"), F.struct(F.col("new_status").alias("v"))), "gave_date": F.when(given("follow_up_date"), F.struct(date.alias("v")))})
+    last_status, last_date = F.last("gave_status", ignorenulls=True).over(before), F.last("gave_date", ignorenulls=True).over(before)
+    added = added.withColumns({"old_status": F.when(last_status.isNull(), F.col("t_status")).otherwise(last_status["v"]), "old_date": F.when(last_date.isNull(), F.col("t_date")).otherwise(last_date["v"])})
+    added = added.withColumns({"next_status": F.when(F.col("gave_status").isNotNull(), F.col("new_status")).otherwise(F.col("old_status")), "next_date": F.when(F.col("gave_date").isNotNull(), F.col("gave_date.v")).otherwise(F.col("old_date"))})
+    was, now = (F.coalesce(is_closed(c), F.lit(False)) for c in ("old_status", "next_status"))
+    differs = lambda a, b: F.coalesce(F.col(a), F.lit("")) != F.coalesce(F.col(b), F.lit(""))
+    ticket, at = F.col("ticket_id"), F.col("at")
+    made = [
+        _event_row(ticket, 0, "followup", at, F.col("body")),
+        F.when(differs("old_status", "next_status"), _event_row(ticket, 1, "status_changed", at, None, F.col("old_status"), F.col("next_status"))),
+        F.when(differs("old_date", "next_date"), _event_row(ticket, 2, "follow_up_date_changed", at, None, F.col("old_date"), F.col("next_date"))),
+        F.when(now & ~was, _event_row(ticket, 3, "closed", at, None, None, F.col("next_status"))),
+        F.when(was & ~now, _event_row(ticket, 4, "reopened", at, None, F.col("old_status"), F.col("next_status"))),
+    ]
+    events = added.select(F.col("id").alias("note_id"), F.explode(F.filter(F.array(*made), lambda e: e.isNotNull())).alias("e")).select("note_id", "e.*")
+    # what the notes of a ticket come to
+    place = F.struct(F.col("at").isNotNull().alias("timed"), F.col("at"), F.col("id"))
+    moved = F.when(now != was, place)
+    after = added.groupBy("ticket_id").agg(F.max("at").alias("noted_at"), F.max_by("next_status", place).alias("next_status"), F.max_by("next_date", place).alias("next_date"), F.max(moved).alias("moved"), F.max_by(F.when(now, F.col("at")), moved).alias("closed_on"))
+    out = tickets.join(after.withColumnRenamed("ticket_id", "n_ticket"), F.col("id") == F.col("n_ticket"), "left")
+    noted = F.col("n_ticket").isNotNull()
+    kinds = {f.name: f.dataType for f in tickets.schema.fields}
+    closed = F.when(F.col("moved").isNull(), F.col("closed_at")).otherwise(F.col("closed_on").cast(kinds["closed_at"]))
+    values = {
+        "status": F.when(noted, F.col("next_status")).otherwise(F.col("status")),
+        "follow_up_date": F.when(noted, F.col("next_date").try_cast(kinds["follow_up_date"])).otherwise(F.col("follow_up_date")),
+        "closed_at": F.when(noted, closed).otherwise(F.col("closed_at")),
+        "last_followup_at": F.when(noted & F.col("noted_at").isNotNull(), F.col("noted_at").cast(kinds["last_followup_at"])).otherwise(F.col("last_followup_at")),
+    }
+    return out.select(*[values[c].alias(c) if c in values else F.col(c) for c in tickets.columns]), events, rows.where("outcome != 'added'").select("id", "outcome")
+
+
 def followed_up(tickets: DataFrame, notes: DataFrame) -> DataFrame:
     """What becomes of notes (id, ticket_id, at, body, and has_/new_ of status and follow_up_date) on tickets: outcome, and the event's columns.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.mutations import update_columns
 from larkspur.operators.permissions import CATALOGUE, ROLES
 
 SECRETS = ["password_hash"]
@@ -43,6 +44,27 @@ def taken(users: DataFrame, id_: str, email: str) -> bool:
     return not users.where((F.col("id") == id_) | (F.lower("email") == F.lower(F.lit(email)))).limit(1).isEmpty()
 
 
+#: What an update of an account may give; of these texts, empty ones become null.
+FIELDS, BLANK = ["name", "email", "password_hash", "role", "status", "job_title", "permissions", "last_login"], ("job_title",)
+
+
+def update_users(users: DataFrame, patch: DataFrame, accounts: list[tuple | None] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users after the patch, fallback accounts as the patch would have them, ids that are neither's).
+
+    patch: id, and new_<field> and has_<field> of the fields that it may give. permissions have three states: not given, they stay; null, the account is back to
+    its role's defaults; an array, also an empty one, replaces them. The table's account comes before a fallback of the same id; a fallback
+    shows what it was asked for, without secrets, and nothing of it is stored. A patch of several rows for an id is refused.
+    """
+    after, missing = update_columns(users, patch, "id", FIELDS, BLANK)
+    given = [a for a in accounts if a is not None]
+    if not given:
+        return after, public(after.limit(0)), missing
+    spare = users.sparkSession.createDataFrame(given, users.schema)
+    asked = patch.join(F.broadcast(missing), "id", "left_semi").join(F.broadcast(spare.select("id")), "id", "left_semi")
+    shown, _ = update_columns(spare.join(F.broadcast(asked.select("id").distinct()), "id", "left_semi"), asked, "id", FIELDS, BLANK)
+    return after, public(shown), missing.join(F.broadcast(spare.select("id")), "id", "left_anti")
+
+
 def may_manage(actor_role: Column, target_role: Column) -> Column:
     """Only an owner manages an owner."""
     return (actor_role == "owner") | (target_role != "owner")
@@ -104,10 +126,15 @@ def file_verdict(role: Column, held: Column, section: Column, action: Column) ->
     return F.when(need.isNull(), "unknown_action").when(~F.coalesce(known, F.lit(False)), "no_files_in_section").when((role != "owner") & ~F.array_contains(held, wanted), "not_allowed")
 
 
+#: Fixed value: most bytes of an upload.
+MOST_UPLOAD = 20 << 20
+
+
 def upload_verdict(content: Column, content_type: Column, file_name: Column) -> Column:
-    """Why an upload is refused: empty, or declared as a PDF, by its type or name, without being one."""
+    """Why an upload is refused: larger than MOST_UPLOAD, empty, or declared as a PDF, by its type or name, without being one; null if it isn't."""
     declared = F.coalesce(content_type.rlike("(?i)pdf"), F.lit(False)) | F.coalesce(file_name.rlike("(?i)\\.pdf$"), F.lit(False))
-    return F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, "empty").when(declared & (F.substring(content, 1, 5) != F.lit(b"%PDF-")), "no_pdf")
+    size = F.coalesce(F.octet_length(content), F.lit(0))
+    return F.when(size > MOST_UPLOAD, "too_large").when(size == 0, "empty").when(declared & ((F.substring(content, 1, 5) != F.lit(b"%PDF-")) | (size <= 5)), "no_pdf")
 
 
 def append_audit(log: DataFrame, entries: DataFrame) -> DataFrame:

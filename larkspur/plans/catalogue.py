@@ -26,14 +26,14 @@ def _text(*names: str):
     return [F.col(n).cast("string").alias(n) for n in names]
 
 
-def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expiry.scan_expirations(*(view(spark, sf_dir, v) for v in ("employees", "permits", "document_types")), today=AS_OF)
 
 
 @query
 def expiry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of all employees and document types."""
-    return _alerts(spark, sf_dir).select("employee_id", "employee_name", "type_label", *_text("expiry"), "remaining_days", "stage")
+    return alerts(spark, sf_dir).select("employee_id", "employee_name", "type_label", *_text("expiry"), "remaining_days", "stage")
 
 
 @query
@@ -42,27 +42,27 @@ def latest_permit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expiry.latest_permits(view(spark, sf_dir, "permits")).select("iqama", "id", "permit_no", *_text("issue_date", "expiry_date"))
 
 
-#: (text, the date it stands for)
-DATE_CASES = [
-    (None, None), ("", None), ("garbage", None), ("a/b/c", None), ("1/2", None), ("2025-13-01", None), ("2025-12-31", "2025-12-31"), ("2025-12", "2025-12-01"),
-    ("2025-2-3", "2025-02-03"), ("2025-02-30", "2025-03-02"), ("12/31/2025", "2025-12-31"), ("1/5/2025", "2025-01-05"), ("13/40/2025", "2026-02-09"), ("1/5/25", "1925-01-05"),
-    ("2025-12-31T10:00:00Z", "2025-12-31"), ("2025", "2025-01-01"), ("0/5/2025", "2024-12-05"), ("1/0/2025", "2024-12-31"), ("2025-12-31 10:00", None),
-]
-
-
 @query
 def date_parse_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loose dates and what they are parsed to."""
-    rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(DATE_CASES)], "id int, text string")
+    """Order dates written in a dozen loose ways, some of which are none, and what they are parsed to."""
+    d, k = F.col("d"), F.col("id") % 12
+    y, m, t = (f(d).cast("string") for f in (F.year, F.month, F.dayofmonth))
+    joined = lambda by, *parts: F.concat_ws(by, *parts)
+    iso, none = d.cast("string"), F.lit(None).cast("string")
+    later, beyond = (F.month(d) + 12).cast("string"), (F.dayofmonth(d) + 31).cast("string")
+    ways = [none, F.lit(""), iso, joined("-", y, m, t), joined("/", m, t, y), joined("/", later, t, y), joined("/", m, beyond, y), joined("/", m, t, F.right(y, F.lit(2)))]
+    ways += [F.concat(iso, F.lit("T10:00:00Z")), joined("-", y, m), joined("-", y, later, F.lit("01")), F.concat(iso, F.lit(" 10:00"))]
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"))
+    rows = rows.select("id", F.get(F.array(*ways), k.cast("int")).alias("text"))
     return rows.select("id", "text", dates.parse_date(F.col("text")).cast("string").alias("parsed"))
 
 
 @query
 def alert_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the alert mail of each recipient."""
-    alerts = with_position(_alerts(spark, sf_dir), F.col("employee_id").asc(), F.col("sort_order").asc(), F.col("type_key").asc())
+    rows = with_position(alerts(spark, sf_dir), F.col("employee_id").asc(), F.col("sort_order").asc(), F.col("type_key").asc())
     templates = spark.createDataFrame([("first@example.org", "hello")], "email string, greeting string")
-    return expiry.alert_mails(alerts, view(spark, sf_dir, "recipients"), templates)
+    return expiry.alert_mails(rows, view(spark, sf_dir, "recipients"), templates)
 
 
 def _list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +130,9 @@ def audit_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_types_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document types in their order."""
-    return view(spark, sf_dir, "document_types").select("key", "label", F.row_number().over(Window.orderBy("sort_order", "key")).alias("pos"))
+    """Nations as document types, in their order."""
+    types = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key"), F.col("n_name").alias("label"), (F.col("n_nationkey") % 4).alias("sort_order"))
+    return with_position(types, F.col("sort_order").asc(), F.col("key").asc()).select("key", "label", F.col("pos").cast("int").alias("pos"))
 
 
 def held_users(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from larkspur.operators.tickets import STATUSES
 from larkspur.sources.views import AS_OF, TODAY, duckdb_ctes
 
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY iqama ORDER BY coalesce(issue_date, DATE '1970-01-01') DESC, id) AS rn FROM permits) WHERE rn = 1)"""
-_ALERTS = f"""{duckdb_ctes("employees", "permits", "document_types")}, {_LATEST},
+ALERTS = f"""{duckdb_ctes("employees", "permits", "document_types")}, {_LATEST},
 crossed AS (SELECT e.id AS employee_id, e.name AS employee_name, d.key AS type_key, d.label AS type_label, d.sort_order,
   CASE d.employee_field WHEN 'iqExp' THEN e.iq_exp WHEN 'licExp' THEN e.lic_exp WHEN 'ajeerExp' THEN l.expiry_date END AS expiry
   FROM employees e LEFT JOIN latest l ON e.iqama = l.iqama CROSS JOIN document_types d),
@@ -25,25 +25,29 @@ def _array(values: list[str]) -> str:
 
 
 _CATALOGUE = f"catalogue AS (SELECT unnest({_array(ALL)}) AS permission, unnest(range({len(ALL)})) AS place)"
-_ROLES = "roles AS (" + " UNION ALL ".join(f"SELECT '{r}' AS role, unnest({_array(h)}) AS permission, unnest(range({len(h)})) AS place" for r, h in ROLES.items()) + ")"
-_HELD = f"""{duckdb_ctes("users")}, {_CATALOGUE}, {_ROLES},
+ROLES_CTE = "roles AS (" + " UNION ALL ".join(f"SELECT '{r}' AS role, unnest({_array(h)}) AS permission, unnest(range({len(h)})) AS place" for r, h in ROLES.items()) + ")"
+_HELD = f"""{duckdb_ctes("users")}, {_CATALOGUE}, {ROLES_CTE},
 held AS (SELECT u.id, u.role, c.permission, c.place FROM users u, catalogue c WHERE u.role = 'owner'
   OR (u.perm_mode = 1 AND c.permission IN ('tickets:view', 'gone:view', 'users:manage', 'kpi:view'))
   UNION ALL SELECT u.id, u.role, r.permission, r.place FROM users u JOIN roles r ON r.role = u.role WHERE u.perm_mode = 0 AND u.role != 'owner')"""
-_CLAUSE = "CASE stage WHEN 'overdue' THEN 'منتهية منذ ' || abs(remaining_days) || ' يوم' WHEN 'today' THEN 'تنتهي اليوم' ELSE 'متبقي ' || remaining_days || ' أيام' END"
+CLAUSE = "CASE stage WHEN 'overdue' THEN 'منتهية منذ ' || abs(remaining_days) || ' يوم' WHEN 'today' THEN 'تنتهي اليوم' ELSE 'متبقي ' || remaining_days || ' أيام' END"
 _NEXT = """next AS (SELECT id, CASE WHEN status = 'open' THEN 'completed' WHEN status = 'cancelled' THEN 'in_progress' WHEN priority = 'high' THEN 'nonsense' ELSE status END AS status, priority,
   CASE WHEN priority = 'medium' THEN assignee_id + 1 ELSE assignee_id END AS assignee_id, CASE WHEN priority = 'urgent' THEN NULL ELSE follow_up_date END AS follow_up_date,
   CASE WHEN status = 'awaiting_us' THEN employee_eid || 'x' ELSE employee_eid END AS employee_eid FROM tickets),
 both_ AS (SELECT t.id, t.status AS s0, n.status AS s1, CAST(t.assignee_id AS VARCHAR) AS a0, CAST(n.assignee_id AS VARCHAR) AS a1, CAST(t.follow_up_date AS VARCHAR) AS f0, CAST(n.follow_up_date AS VARCHAR) AS f1,
   t.employee_eid AS e0, n.employee_eid AS e1 FROM tickets t JOIN next n ON t.id = n.id WHERE n.status != 'nonsense')"""
-_DATES = "(0, NULL, NULL), (1, '', NULL), (2, 'garbage', NULL), (3, 'a/b/c', NULL), (4, '1/2', NULL), (5, '2025-13-01', NULL), (6, '2025-12-31', '2025-12-31'), (7, '2025-12', '2025-12-01'), (8, '2025-2-3', '2025-02-03'), (9, '2025-02-30', '2025-03-02'), (10, '12/31/2025', '2025-12-31'), (11, '1/5/2025', '2025-01-05'), (12, '13/40/2025', '2026-02-09'), (13, '1/5/25', '1925-01-05'), (14, '2025-12-31T10:00:00Z', '2025-12-31'), (15, '2025', '2025-01-01'), (16, '0/5/2025', '2024-12-05'), (17, '1/0/2025', '2024-12-31'), (18, '2025-12-31 10:00', NULL)"
 
 ORACLES: dict[str, str] = {
-    "expiry_scan": f"{_ALERTS} SELECT employee_id, employee_name, type_label, CAST(expiry AS VARCHAR) AS expiry, remaining_days, stage FROM alerts",
+    "expiry_scan": f"{ALERTS} SELECT employee_id, employee_name, type_label, CAST(expiry AS VARCHAR) AS expiry, remaining_days, stage FROM alerts",
     "latest_permit": f"{duckdb_ctes('permits')}, {_LATEST} SELECT iqama, id, permit_no, CAST(issue_date AS VARCHAR) AS issue_date, CAST(expiry_date AS VARCHAR) AS expiry_date FROM latest",
-    "date_parse_cases": f"SELECT CAST(id AS INT) AS id, text, parsed FROM (VALUES {_DATES}) AS t(id, text, parsed)",
-    "alert_mails": f"""{_ALERTS}, placed AS (SELECT *, row_number() OVER (ORDER BY employee_id, sort_order, type_key) AS pos FROM alerts),
-lines AS (SELECT pos, pos || '. ' || employee_name || ' — ' || type_label || ' — ' || {_CLAUSE} || CASE stage WHEN 'overdue' THEN ' ⚠️ يتطلب إجراءً فوريًا' ELSE '' END AS line FROM placed)
+    "date_parse_cases": """WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 12 AS k FROM orders),
+p AS (SELECT *, CAST(year(d) AS VARCHAR) AS y, CAST(month(d) AS VARCHAR) AS m, CAST(day(d) AS VARCHAR) AS t FROM o)
+SELECT id, CASE k WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN CAST(d AS VARCHAR) WHEN 3 THEN y || '-' || m || '-' || t WHEN 4 THEN m || '/' || t || '/' || y WHEN 5 THEN (month(d) + 12) || '/' || t || '/' || y WHEN 6 THEN m || '/' || (day(d) + 31) || '/' || y
+  WHEN 7 THEN m || '/' || t || '/' || right(y, 2) WHEN 8 THEN CAST(d AS VARCHAR) || 'T10:00:00Z' WHEN 9 THEN y || '-' || m WHEN 10 THEN y || '-' || (month(d) + 12) || '-01' ELSE CAST(d AS VARCHAR) || ' 10:00' END AS text,
+CAST(CASE k WHEN 2 THEN d WHEN 3 THEN d WHEN 4 THEN d WHEN 5 THEN make_date(year(d) + 1, month(d), 1) + CAST(day(d) - 1 AS INT) WHEN 6 THEN make_date(year(d), month(d), 1) + CAST(day(d) + 30 AS INT)
+  WHEN 7 THEN make_date(1900 + year(d) % 100, month(d), 1) + CAST(day(d) - 1 AS INT) WHEN 8 THEN d WHEN 9 THEN make_date(year(d), month(d), 1) END AS VARCHAR) AS parsed FROM p""",
+    "alert_mails": f"""{ALERTS}, placed AS (SELECT *, row_number() OVER (ORDER BY employee_id, sort_order, type_key) AS pos FROM alerts),
+lines AS (SELECT pos, pos || '. ' || employee_name || ' — ' || type_label || ' — ' || {CLAUSE} || CASE stage WHEN 'overdue' THEN ' ⚠️ يتطلب إجراءً فوريًا' ELSE '' END AS line FROM placed)
 SELECT r.email, '🔔 تنبيه بقرب انتهاء وثيقة موظف' AS subject, 'batch' AS kind, l.pos, CASE WHEN r.ok THEN l.line END AS line, CASE WHEN NOT r.ok THEN 'no template for ' || r.email END AS error
 FROM lines l, (VALUES ('first@example.org', true), ('second@example.org', false)) AS r(email, ok)""",
     "ticket_list": f"{_LIST} SELECT * FROM listed",
@@ -58,7 +62,7 @@ SELECT id, rank, overdue, row_number() OVER (ORDER BY rank, overdue DESC, coales
 CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY id) - 1 AS INT) AS pos, kind AS key, body AS note FROM ticket_events""",
     "settings_map": "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation",
     "audit_tail": "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(row_number() OVER (ORDER BY events.ts DESC, event_id DESC) AS INT) AS pos FROM events ORDER BY events.ts DESC, event_id DESC LIMIT 200",
-    "doc_types_sorted": f"{duckdb_ctes('document_types')} SELECT key, label, CAST(row_number() OVER (ORDER BY sort_order, key) AS INT) AS pos FROM document_types",
+    "doc_types_sorted": "SELECT lower(n_name) AS key, n_name AS label, CAST(row_number() OVER (ORDER BY n_nationkey % 4, lower(n_name)) AS INT) AS pos FROM nation",
     "user_permissions": f"""{_HELD} SELECT h.id, h.role, h.role = 'owner' OR u.perm_mode = 0 AS defaults, CAST(row_number() OVER (PARTITION BY h.id ORDER BY place) - 1 AS INT) AS pos, permission FROM held h JOIN users u ON h.id = u.id""",
     "permission_escalation": f"""{_HELD}, wanted AS (SELECT permission, place FROM catalogue WHERE permission IN ('settings:edit', 'kpi:view', 'users:view')),
 more AS (SELECT u.id, string_agg(w.permission, ', ' ORDER BY w.place) AS more FROM users u, wanted w WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.id = u.id AND h.permission = w.permission) GROUP BY u.id)

@@ -208,7 +208,10 @@ def _held_sql() -> str:
 pairs AS (SELECT a.id, a.role, a.held, t.id AS target_id, t.role AS target_role, CASE (a.id + t.id) % 4 WHEN 0 THEN 'owner' WHEN 1 THEN 'nobody' WHEN 2 THEN t.role ELSE '' END AS wanted FROM h a JOIN h t ON t.id BETWEEN a.id AND a.id + 5)"""
 
 
-@query(f"""{_held_sql()} SELECT id, target_id,
+HELD_PAIRS = _held_sql()
+
+
+@query(f"""{HELD_PAIRS} SELECT id, target_id,
 CASE WHEN NOT {_HAS("users:create")} THEN 'not_allowed' WHEN wanted = '' THEN 'missing_field' WHEN wanted = 'nobody' THEN 'unknown_role' WHEN a.role != 'owner' AND wanted = 'owner' THEN 'owner_only' END AS creates,
 CASE WHEN NOT {_HAS("users:edit")} AND NOT {_HAS("users:manage")} THEN 'not_allowed' WHEN a.role != 'owner' AND target_role = 'owner' THEN 'target_is_owner' WHEN wanted = 'nobody' THEN 'unknown_role'
   WHEN wanted = 'owner' AND target_role != 'owner' AND a.role != 'owner' THEN 'owner_only' WHEN NOT {_HAS("users:edit")} THEN 'not_allowed' END AS edits,
@@ -236,7 +239,7 @@ def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SECTIONS = ["employees", "tickets", "nowhere"]
 
 
-@query(f"""{_held_sql()}, s AS (SELECT unnest({_SECTIONS}) AS section), t AS (SELECT unnest(['upload', 'delete', 'qr']) AS action)
+@query(f"""{HELD_PAIRS}, s AS (SELECT unnest({_SECTIONS}) AS section), t AS (SELECT unnest(['upload', 'delete', 'qr']) AS action)
 SELECT a.id, section, action, CASE WHEN action = 'qr' THEN 'unknown_action' WHEN section != 'employees' THEN 'no_files_in_section' WHEN a.role != 'owner' AND NOT list_contains(a.held, section || ':' || action || '_files') THEN 'not_allowed' END AS verdict FROM h a, s, t""")
 def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What speaks against each user's actions on files."""

@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from larkspur.functions import dates, strings
 from larkspur.operators import expiry, hijri, mutations, nested, pdf_images, permissions, records, tickets, verdicts
 from larkspur.operators.ordering import with_position
-from larkspur.plans.catalogue import DATE_CASES, synthetic_pdf
+from larkspur.plans.catalogue import synthetic_pdf
 from larkspur.sources.views import view
 
 DIR = "/root/testdata/sf0.001"
 
 
+#: (text, the date it stands for)
+DATE_CASES = [
+    (None, None), ("", None), ("garbage", None), ("a/b/c", None), ("1/2", None), ("2025-13-01", None), ("2025-12-31", "2025-12-31"), ("2025-12", "2025-12-01"),
+    ("2025-2-3", "2025-02-03"), ("2025-02-30", "2025-03-02"), ("12/31/2025", "2025-12-31"), ("1/5/2025", "2025-01-05"), ("13/40/2025", "2026-02-09"), ("1/5/25", "1925-01-05"),
+    ("2025-12-31T10:00:00Z", "2025-12-31"), ("2025", "2025-01-01"), ("0/5/2025", "2024-12-05"), ("1/0/2025", "2024-12-31"), ("2025-12-31 10:00", None),
+]
+
+
 def test_parse_date(spark):
     rows = spark.createDataFrame(DATE_CASES, "text string, want string").select("want", dates.parse_date(F.col("text")).cast("string").alias("got")).collect()
     assert all(r.want == r.got for r in rows)
@@ -107,9 +115,7 @@ def test_verdict_order(spark):
     assert got == ["unknown_document_type", "employee_not_found", "identity_mismatch", "no_date", "older_than_current", "unchanged", "updated", "set"]
 
 
-def test_hijri_round_trip(spark):
-    days = hijri.calendar(spark)
-    assert days.count() == 106_665 == days.select("hijri").distinct().count() == days.select("gregorian").distinct().count()
+def test_hijri_cases(spark):
     cases = {"1444-01-01": date(2022, 7, 30), "1445-01-01": date(2023, 7, 19), "1446-01-01": date(2024, 7, 7), "1447-01-01": date(2025, 6, 26), "1299-01-01": None, "1601-01-01": None, "1444-13-01": None}
     got = hijri.to_gregorian(spark.createDataFrame([(k,) for k in cases], "h string"), "h").collect()
     assert {r.h: r.gregorian for r in got} == cases
