@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import broadcast_if_small
+from larkspur.llm.storage import cut, join_with_hot
 
 #: Spellings that count as the second one, as whole words of lower-case text without punctuation.
 EQUIVALENT = [
@@ -114,7 +114,7 @@ KNOWN = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
-#: Most known texts that are broadcast; beyond it the join is shuffled.
+#: Most known texts that are broadcast; beyond it the join is shuffled, but for the digests of very many rows.
 BROADCAST_KNOWN = 100_000
 
 
@@ -142,32 +142,48 @@ def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = No
     return table.select("license_id", digest(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def known_notices(spark: SparkSession, notices: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(license_id, digest) of the given one-line notices, by default KNOWN's; one of several lines is none."""
+    lines = [(name, text) for name, text in (KNOWN if notices is None else notices) if "\n" not in text]
+    table = spark.createDataFrame(lines, "license_id string, text string")
+    return table.select("license_id", digest(canonical(F.col("text"))).alias("digest")).where("digest is not null").distinct()
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text", notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """Per row of docs: doc_id, digest, license_id, notices.
 
-    known: (license_id, digest), by default known_licenses(). license_id: of the known text with the same digest as the row's whole text,
-    else null. notices: the ids, sorted and comma-joined, of the given one-line notices (license_id, line), by default KNOWN's, that the
-    row has as lines; empty if there are none.
+    known: (license_id, digest), by default known_licenses(); of several ids of one digest the least counts. license_id: of the known text with the same
+    digest as the row's whole text, else null. notices: the ids, sorted and comma-joined, of the given one-line notices (license_id, line), by
+    default KNOWN's, that have the digest of one of the row's lines; empty if there are none. Whole texts and lines are looked up alike, in one hash join of digests.
 
     Null texts, and those without letters or digits, have no digest and no licence. Repeated rows come
     back as often as they are there. A very long text is canonised whole, in one task. Other columns are not used; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    known = broadcast_if_small((known or known_licenses(spark)).select(F.col("digest").alias("key"), "license_id"), BROADCAST_KNOWN)
-    lines = sorted({(name, text) for name, text in (KNOWN if notices is None else notices) if "\n" not in text})
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), canonical(F.col(text_column).cast("string")).alias("canonical"))
-    names = F.array().cast("array<string>")
-    if lines:
-        notice = F.array(*[F.struct(canonical(F.lit(text)).alias("line"), F.lit(name).alias("name")) for name, text in lines])
-        # the few lines that speak of licences at all are looked up
-        some = F.split("canonical", "\n")
-        if notices is None:
-            some = F.filter(some, lambda x: x.contains("license"))
-        names = F.flatten(F.transform(F.array_distinct(some), lambda x: F.transform(F.filter(notice, lambda k: k["line"] == x), lambda k: k["name"])))
-    rows = rows.select("doc_id", digest(F.col("canonical")).alias("digest"), F.coalesce(F.array_join(F.sort_array(F.array_distinct(names)), ","), F.lit("")).alias("notices"))
-    # a key that no licence has stands for no digest, so that such rows don't meet in one task
-    rows = rows.withColumn("key", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))))
-    return rows.join(known, "key", "left").select("doc_id", "digest", "license_id", "notices")
+    whole = (known_licenses(spark) if known is None else known).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    names = whole.select("digest", F.lit(False).alias("line"), F.array("license_id").alias("names"))
+    of_lines = known_notices(spark, notices).groupBy("digest").agg(F.collect_set("license_id").alias("names"))
+    table = names.unionByName(of_lines.select("digest", F.lit(True).alias("line"), "names")).withColumnRenamed("digest", "key")
+
+    text = F.col(f"`{text_column}`").cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_column}`").cast("long").alias("doc_id"), canonical(text).alias("canonical"))
+    lines = F.split("canonical", "\n")
+    if notices is None:  # the few lines that speak of licences at all are looked up
+        lines = F.filter(lines, lambda x: x.contains("license"))
+    lines = F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.sha2(x, 256)))
+    rows = rows.select("row", "doc_id", digest(F.col("canonical")).alias("digest"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
+    # what no licence has stands for no digest, so that such rows don't meet in one task
+    own = F.struct(F.coalesce("digest", F.concat(F.lit("-"), F.col("row").cast("string"))).alias("key"), F.lit(False).alias("line"))
+    each = F.concat(F.array(own), F.transform("lines", lambda x: F.struct(x.alias("key"), F.lit(True).alias("line"))))
+    keys = rows.select("row", "doc_id", "digest", F.explode(each).alias("of")).select("row", "doc_id", "digest", "of.key", "of.line")
+    if known is None or known.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN:
+        met = keys.join(F.broadcast(table), ["key", "line"], "left")
+    else:
+        keys = cut(keys, "license-keys")
+        often = keys.join(table.select("key").distinct(), "key", "left_semi").groupBy("key", "line").agg(F.count("*").alias("n"))
+        met = join_with_hot(keys, table.join(often, ["key", "line"]), ["key", "line"], "n", keys.count(), "left")
+    found = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.max(F.when(~F.col("line"), F.get("names", F.lit(0)))).alias("license_id"), F.flatten(F.collect_set(F.when(F.col("line"), F.col("names")))).alias("notices"))
+    return found.select("doc_id", "digest", "license_id", F.array_join(F.array_sort(F.array_distinct("notices")), ",").alias("notices"))
 
 
 def _sql_canonical(text: str) -> str:

@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int | None =
     part, seq (files are in the order of these two), path, n_docs, n_tokens, start (ids in all files before).
 
     A null text counts as empty; null ids come first; rows that share an id, also repeated rows, are all written, in any order, and
-    by one task. A very long text is encoded whole.
+    by several tasks if they are many. A very long text is encoded whole.
     Other columns of docs are not used. An empty table gives no file. folder must be one that the driver and
     all executors share.
     """
@@ -177,8 +177,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int | None =
     bits = bits_for(vocabulary or encoder(tokenizer).size)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     parts = tasks(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, WRITE_TASK)
-    # texts are shuffled, not ids: compressed, they are the smaller of the two
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # texts are shuffled, not ids: compressed, they are the smaller of the two; rows that share an id, or have none, are told apart by their numbers
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     files = cut(bounded(rows).mapInArrow(trimmed(_write(tokenizer, folder, bits, end)), _SHARDS), "token-files")
     # one row for each file of some 2**25 ids: the only thing that meets in one task
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -212,6 +212,7 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per document of the files that write_token_files() returned: doc_id, start (ids of all documents
     before it), n_tokens (with the end id), ids_crc32 (of its ids as 32-bit integers), and ids if asked for.
 
-    A file is one task's work, or with very many files, a few of them are."""
+    A document of a null or empty text has the end id alone; one without an id comes back without; repeated rows come back as often as they were written, and a very
+    long text in one row. No files give an empty result. A file is one task's work, or with very many files, a few of them are."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     return bounded(files).select("path", "start").repartition(tasks(files.count(), 1), "path").mapInArrow(trimmed(_read(with_ids)), schema)

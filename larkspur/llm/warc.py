@@ -181,7 +181,9 @@ def read_archives(index: DataFrame, with_html: bool = False) -> DataFrame:
     """The records that the index rows name, from the archives: page_id, url, payload_bytes, payload_digest,
     record_type, refers_to, and html if asked for (empty for a revisit). Payloads are checked against their digests.
 
-    Stretches of READ_TASK bytes of a file are dealt to tasks and each sorted by offset, so that neighbours are read at once.
+    A page without an id, an address or a payload comes back without it, but for the payload, which is empty; records that the index names
+    twice come back twice, and a very long payload in one row. An empty index gives an empty result. Stretches of READ_TASK bytes of a file are
+    dealt to tasks and each sorted by offset, so that neighbours are read at once.
     """
     stretch = (F.col("offset") / F.lit(READ_TASK)).cast("long")
     n = tasks(index.agg(F.sum("length")).first()[0] or 0, READ_TASK)

@@ -238,7 +238,7 @@ def test_line_dedup(spark, docs, none, monkeypatch):
         assert line_dedup.drop_boilerplate(none).collect() == []
 
 
-def test_license_scan(spark, docs, none):
+def test_license_scan(spark, docs, none, monkeypatch):
     mit = licenses.MIT.replace("<year> <copyright holders>", "2020 A. N. Other").replace("sublicense", "sub-license").upper()
     rows = [(1, mit), (2, "x\n  Released under the MIT Licence\ny"), (3, None), (4, ""), (5, PROSE), (6, licenses.ISC + "\n© 2021 Me")]
     rows += [(7, "© me\n" + licenses.BSD_3), (7, "© me\n" + licenses.BSD_3), (8, licenses.BSD_2 + "\nbut not quite"), (9, "my own terms: the super centre's licence  licence"), (10, (PROSE + "\n") * 5000 + "SPDX-License-Identifier: MIT")]
@@ -249,6 +249,12 @@ def test_license_scan(spark, docs, none):
     own = licenses.known_licenses(spark, [("Mine", "My own terms: the SUPER centre's license, license")])
     got = {r.doc_id: (r.license_id, r.notices) for r in licenses.scan_licenses(frame, own, notices=[("quick", "the quick brown fox")]).collect()}
     assert got[9] == ("Mine", "") and got[1] == (None, "")
+    # digests given twice, and more of them than are broadcast
+    twice = own.unionAll(own).unionAll(licenses.known_licenses(spark, [("Later", "My own terms: the SUPER centre's license, license")])).unionAll(licenses.known_licenses(spark))
+    for most in (100_000, 2):
+        monkeypatch.setattr(licenses, "BROADCAST_KNOWN", most)
+        rows = sorted((r.doc_id, r.license_id, r.notices) for r in licenses.scan_licenses(frame, twice).collect())
+        assert rows == [(k, "Later" if k == 9 else name, lines) for k, name, lines in [(1, "MIT", ""), (2, None, "MIT"), (3, None, ""), (4, None, ""), (5, None, ""), (6, "ISC", ""), (7, "BSD-3-Clause", ""), (7, "BSD-3-Clause", ""), (8, None, ""), (9, None, ""), (10, None, "MIT")]]
     shape = frame.select(licenses.canonical(F.lit("Supercentre, super centre; sub-license sub license\nper cent")).alias("c")).first().c
     assert shape == "supercentre super centre sublicense sublicense\npercent"
     assert licenses.scan_licenses(docs).count() == len(odd_documents()) and licenses.scan_licenses(none).collect() == []
