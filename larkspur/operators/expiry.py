@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.dates import long_date, stage
+from larkspur.operators.joins import spread
 from larkspur.operators.mutations import one_per_key
 
 #: Fixed value: the subject of alert mails.
@@ -31,8 +32,8 @@ def scan_expirations(employees: DataFrame, permits: DataFrame, document_types: D
     """
     if document_types.limit(MOST_TYPES + 1).count() > MOST_TYPES:
         raise ValueError(f"more than {MOST_TYPES} document types")
-    latest = latest_permits(permits.where("iqama is not null")).select("iqama", F.col("expiry_date").alias("ajeer_exp"))
-    rows = employees.join(latest, "iqama", "left").crossJoin(F.broadcast(document_types))
+    latest = latest_permits(permits.where("iqama is not null")).select(F.col("iqama").alias("p_iqama"), F.col("expiry_date").alias("ajeer_exp"))
+    rows = employees.join(latest, spread(F.col("iqama"), F.col("id")) == F.col("p_iqama"), "left").crossJoin(F.broadcast(document_types))
     field = F.col("employee_field")
     expiry = F.when(field == "iqExp", F.col("iq_exp")).when(field == "licExp", F.col("lic_exp")).when(field == "ajeerExp", F.col("ajeer_exp"))
     rows = rows.withColumn("expiry", expiry).withColumn("remaining_days", F.datediff("expiry", F.lit(today).cast("date")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.dates import parse_date
 from larkspur.functions.strings import uri_encode
-from larkspur.operators.mutations import merge_maps, one_per_key
+from larkspur.operators.mutations import json_object, merge_maps, one_per_key
 
 #: The keys of an employee's JSON, by the field of the record that each becomes.
 EMPLOYEE_KEYS = {"eid": "الرقم الوظيفي", "name": "اسم العامل", "iqama": "رقم الإقامة", "iq_exp": "تاريخ انتهاء الإقامة", "lic_exp": "تاريخ انتهاء رخصة العمل"}
@@ -16,10 +16,16 @@ QR_PATH = "/api/files/qr?permit="
 
 
 def employee_records(employees: DataFrame) -> DataFrame:
-    """id, eid, name, iqama, iq_exp, lic_exp (dates) from the JSON objects in `data`; a missing key, or no object, gives null."""
-    rows = employees.select("id", F.from_json("data", "map<string,string>").alias("m"))
+    """id, eid, name, iqama, iq_exp, lic_exp (dates) from the JSON objects in `data`; a missing key, JSON's null, or no object, gives null.
+
+    A date is a loose text, or a number, which counts milliseconds since 1970.
+    """
+    rows = employees.select("id", json_object(F.col("data")).alias("m"))
     value = lambda field: F.try_element_at("m", F.lit(EMPLOYEE_KEYS[field]))
-    return rows.select("id", *[value(f).alias(f) for f in ("eid", "name", "iqama")], *[parse_date(value(f)).alias(f) for f in ("iq_exp", "lic_exp")])
+    text = lambda field: F.try_variant_get(value(field), "$", "string")
+    whole = lambda field: F.when(F.schema_of_variant(value(field)) == "BIGINT", F.try_variant_get(value(field), "$", "bigint"))
+    date = lambda field: F.coalesce(F.when(whole(field).isNotNull(), F.timestamp_millis(whole(field)).cast("date")), parse_date(text(field)))
+    return rows.select("id", *[text(f).alias(f) for f in ("eid", "name", "iqama")], *[date(f).alias(f) for f in ("iq_exp", "lic_exp")])
 
 
 def update_employees(employees: DataFrame, patch: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.dates import is_iso
-from larkspur.functions.strings import clean, one_of, ticket_number
+from larkspur.functions.strings import clean, one_of, overdue_badge, ticket_number
+from larkspur.operators.joins import spread
 from larkspur.operators.mutations import one_per_key
 from larkspur.operators.ordering import with_position
 
@@ -35,6 +36,12 @@ def due_today(today: str) -> Column:
     return F.coalesce(~is_closed() & (F.col("follow_up_date") == F.lit(today).cast("date")), F.lit(False))
 
 
+def due_badge(today: str) -> Column:
+    """A ticket's overdue days in words, or that it is due today; empty for neither. The wording is a fixed value."""
+    late = overdue_days(today)
+    return F.when(late > 0, overdue_badge(late)).when(due_today(today), "متابعة اليوم").otherwise("")
+
+
 def ticket_list(tickets: DataFrame, employees: DataFrame, users: DataFrame) -> DataFrame:
     """Tickets with the employee's and assignee's live values.
 
@@ -42,7 +49,8 @@ def ticket_list(tickets: DataFrame, employees: DataFrame, users: DataFrame) -> D
     """
     e = employees.select(F.col("eid").alias("e_eid"), F.col("name").alias("employee_name"), F.col("iqama").alias("live_iqama"))
     u = users.select(F.col("id").alias("u_id"), F.nullif(F.col("name"), F.lit("")).alias("assignee_name"))
-    rows = tickets.join(e, F.col("employee_eid") == F.col("e_eid"), "left").join(u, F.col("assignee_id") == F.col("u_id"), "left")
+    rows = tickets.join(e, spread(F.col("employee_eid"), F.col("id")) == F.col("e_eid"), "left")
+    rows = rows.join(u, spread(F.col("assignee_id"), F.col("id")) == F.col("u_id").cast("string"), "left")
     exists = F.col("e_eid").isNotNull()
     return rows.withColumns({"employee_exists": exists, "iqama": F.when(exists, F.col("live_iqama")).otherwise(F.col("employee_iqama_at_creation")), "is_closed": is_closed()}).drop("e_eid", "u_id", "live_iqama")
 
@@ -176,7 +184,7 @@ def created(inputs: DataFrame, employees: DataFrame, last: DataFrame | None = No
             "assignee_id": clean(F.col("assignee_id"), 60),
             "follow_up_date": F.when(is_iso(F.col("follow_up_date")), F.col("follow_up_date")),
         }
-    ).join(e, F.col("employee_eid") == F.col("e_eid"), "left")
+    ).join(e, spread(F.col("employee_eid"), F.col("id")) == F.col("e_eid"), "left")
     outcome = F.when(F.col("title").isNull(), "no_title").when(F.col("type").isNull(), "unknown_type").when(F.col("employee_eid").isNotNull() & F.col("e_eid").isNull(), "no_such_employee")
     rows = rows.withColumn("outcome", F.coalesce(outcome, F.lit("created"))).drop("e_eid")
     made = numbered(rows.where("outcome = 'created'"), last).drop("year", "seq")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.mutations import update_columns
@@ -137,6 +137,13 @@ def upload_verdict(content: Column, content_type: Column, file_name: Column) ->
     return F.when(size > MOST_UPLOAD, "too_large").when(size == 0, "empty").when(declared & ((F.substring(content, 1, 5) != F.lit(b"%PDF-")) | (size <= 5)), "no_pdf")
 
 
+def audit_tail(log: DataFrame, most: int = 200, order: str = "ts", tie: str = "id") -> DataFrame:
+    """The newest entries of a log, as they are shown: ts, type, actor_email, actor_id, target_id, meta and pos; of equal times the greater tie comes first."""
+    newest = log.orderBy(F.col(order).desc(), F.col(tie).desc()).limit(most)
+    pos = F.row_number().over(Window.orderBy(F.col(order).desc(), F.col(tie).desc()))  # over `most` rows
+    return newest.select(F.col(tie).alias("id"), F.col(order).alias("ts"), "type", "actor_email", "actor_id", "target_id", "meta", pos.alias("pos"))
+
+
 def append_audit(log: DataFrame, entries: DataFrame) -> DataFrame:
     """log and the entries, in which empty actors and targets are null and missing details an empty object."""
     blank = [F.nullif(c, F.lit("")).alias(c) for c in ("actor_email", "actor_id", "target_id")]

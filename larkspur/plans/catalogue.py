@@ -5,11 +5,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import dates, strings
-from larkspur.operators import expiry, hijri, mutations, nested, pdf_images, permissions, tickets, verdicts
+from larkspur.operators import expiry, hijri, mutations, nested, pdf_images, permissions, tickets, users, verdicts
 from larkspur.operators.ordering import with_position
 from larkspur.plans.oracles import ORACLES
 from larkspur.sources.views import AS_OF, TODAY, table, view
@@ -80,8 +80,8 @@ def ticket_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ticket_by_employee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tickets of one employee; the predicate reaches the scan."""
-    return _list(spark, sf_dir).where(F.col("employee_eid") == "E7").select(*_LISTED)
+    """The tickets of one employee, the newest first; the predicate reaches the scan."""
+    return with_position(_list(spark, sf_dir).where(F.col("employee_eid") == "E7").select(*_LISTED), F.col("id").desc())
 
 
 @query
@@ -104,13 +104,13 @@ def ticket_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def payroll_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs and their attachments, nested by one shuffle and shown flat."""
+    """Runs, of the highest id first, and their attachments, nested by one shuffle and shown flat."""
     events = view(spark, sf_dir, "ticket_events")
     runs = events.select(F.col("ticket_id").alias("run_id")).distinct()
     children = events.select(F.col("ticket_id").alias("run_id"), "id", F.col("kind").alias("key"), F.col("body").alias("note"))
-    rows = nested.nest(runs, children, "run_id", "id", "attachments")
-    rows = rows.select("run_id", F.size("attachments").alias("n"), F.posexplode_outer("attachments").alias("pos", "a"))
-    return rows.select("run_id", "n", "pos", "a.key", "a.note")
+    rows = with_position(nested.nest(runs, children, "run_id", "id", "attachments"), F.col("run_id").desc(), name="place")
+    rows = rows.select("run_id", "place", F.size("attachments").alias("n"), F.posexplode_outer("attachments").alias("pos", "a"))
+    return rows.select("run_id", "place", "n", "pos", "a.key", "a.note")
 
 
 @query
@@ -122,10 +122,10 @@ def settings_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def audit_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 200 entries."""
-    newest = table(spark, sf_dir, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(200)
-    pos = F.row_number().over(Window.orderBy(F.col("ts").desc(), F.col("event_id").desc()))
-    return newest.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), pos.alias("pos"))
+    """The newest 200 entries, all that is shown of them."""
+    k = F.col("event_id")
+    log = table(spark, sf_dir, "events").select(k.alias("id"), "ts", F.col("event_type").alias("type"), F.when(k % 3 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("actor_email"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor_id"), F.when(k % 2 == 0, k.cast("string")).alias("target_id"), F.col("props").alias("meta"))
+    return users.audit_tail(log).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -139,8 +139,8 @@ def held_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with stored permissions: none, an array with a stale one, or an empty array."""
     custom = F.array(*map(F.lit, ["tickets:view", "gone:view", "users:manage", "kpi:view", "kpi:view"]))
     stored = F.when(F.col("perm_mode") == 1, custom).when(F.col("perm_mode") == 2, F.array().cast("array<string>"))
-    users = view(spark, sf_dir, "users").withColumn("stored", stored)
-    return users.withColumn("held", permissions.effective(F.col("role"), F.col("stored"))).withColumn("defaults", permissions.uses_defaults(F.col("role"), F.col("stored")))
+    rows = view(spark, sf_dir, "users").withColumn("stored", stored)
+    return rows.withColumn("held", permissions.effective(F.col("role"), F.col("stored"))).withColumn("defaults", permissions.uses_defaults(F.col("role"), F.col("stored")))
 
 
 @query
@@ -153,9 +153,9 @@ def user_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def permission_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What speaks against each user's giving the next one a fixed set of permissions."""
-    users = held_users(spark, sf_dir)
-    target = users.select(F.col("id").alias("target_id"), F.col("role").alias("target_role"))
-    rows = users.join(target, F.col("id") + 1 == F.col("target_id"))
+    held = held_users(spark, sf_dir)
+    target = held.select(F.col("id").alias("target_id"), F.col("role").alias("target_role"))
+    rows = held.join(target, F.col("id") + 1 == F.col("target_id"))
     wanted = F.array(*map(F.lit, ["settings:edit", "kpi:view", "stale:one", "users:view"]))
     return rows.select("id", "target_id", permissions.change_verdict(F.col("role"), F.col("held"), F.col("id"), F.col("target_role"), F.col("target_id"), wanted).alias("verdict"))
 
@@ -163,8 +163,8 @@ def permission_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ticket_status_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each ticket's assignee may set each status."""
-    users = held_users(spark, sf_dir).select(F.col("id").alias("u_id"), "role", "held")
-    rows = view(spark, sf_dir, "tickets").join(users, F.col("assignee_id") == F.col("u_id"))
+    held = held_users(spark, sf_dir).select(F.col("id").alias("u_id"), "role", "held")
+    rows = view(spark, sf_dir, "tickets").join(held, F.col("assignee_id") == F.col("u_id"))
     rows = rows.withColumn("wanted", F.explode(F.array(*map(F.lit, tickets.STATUSES))))
     return rows.select("id", "wanted", permissions.may_set_status(F.col("role"), F.col("held"), F.col("status"), F.col("wanted")).alias("allowed"))
 
@@ -274,22 +274,30 @@ def hijri_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*_text("day"), "hijri", F.col("gregorian").cast("string").alias("back"))
 
 
-def synthetic_pdf(seed: int) -> bytes:
-    """A PDF with a few images, some of kinds that aren't read."""
-    rng, out = np.random.default_rng(seed), [b"%PDF-1.4\n"]
-    for k in range(int(rng.integers(1, 6))):
-        w, h, gray = int(rng.integers(2, 12)), int(rng.integers(2, 12)), bool(rng.integers(0, 2))
-        row = w * (1 if gray else 3)
-        kinds = np.arange(h) % 5
-        data = np.concatenate((kinds[:, None], rng.integers(0, 256, (h, row))), axis=1).astype(np.uint8).tobytes()
-        head = f"{k + 1} 0 obj << /Subtype /Image /Width {w} /Height {h} /BitsPerComponent {8 if k != 3 else 1} /ColorSpace /Device{'Gray' if gray else 'RGB'} /Filter /FlateDecode /DecodeParms << /Predictor 15 >> >>\nstream\n"
-        out.append(head.encode() + zlib.compress(data) + b"\nendstream\nendobj\n")
+def text_document(page_id: int, payload: str) -> bytes:
+    """A PDF of a page's text: images of its bytes, of several sizes, in gray or in colours, with rows filtered in all five ways, and one of a depth that isn't read."""
+    data = payload.encode("ascii")
+    out = [b"%PDF-1.4\n"]
+    for k in range(1 + page_id % 5):
+        w, h, channels = 2 + (page_id + 3 * k) % 9, 2 + (page_id * 7 + k) % 9, 1 if (page_id + k) % 2 else 3
+        row = w * channels
+        pixels = np.frombuffer(data[: h * row].ljust(h * row, b"."), np.uint8).reshape(h, w, channels).astype(np.int64)
+        lines, none = [], np.zeros((w, channels), np.int64)
+        for y in range(h):
+            up = pixels[y - 1] if y else none
+            left, corner = np.vstack((none[:1], pixels[y][:-1])), np.vstack((none[:1], up[:-1]))
+            far = np.abs(np.stack((up - corner, left - corner, left + up - 2 * corner)))
+            guess = (0 * up, left, up, (left + up) // 2, np.choose(np.argmin(far, axis=0), (left, up, corner)))[y % 5]
+            lines.append(bytes([y % 5]) + ((pixels[y] - guess) & 255).astype(np.uint8).tobytes())
+        head = f"{k + 1} 0 obj << /Subtype /Image /Width {w} /Height {h} /BitsPerComponent {8 if k != 3 else 1} /ColorSpace /Device{'Gray' if channels == 1 else 'RGB'} /Filter /FlateDecode /DecodeParms << /Predictor 15 >> >>\nstream\n"
+        out.append(head.encode() + zlib.compress(b"".join(lines)) + b"\nendstream\nendobj\n")
     return b"".join(out)
 
 
 @query
 def pdf_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The image candidates of one synthetic document for each supplier."""
-    content = F.udf(lambda seed: synthetic_pdf(seed), "binary")  # makes the input; the operator takes any documents
-    documents = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), content("s_suppkey").alias("content"))
+    """The image candidates of a document made of each page's html."""
+    content = F.udf(text_document, "binary")  # makes the input; the operator takes any documents
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(F.substring(F.coalesce("html", F.lit("")), 1, 400), "[^A-Za-z0-9<>/.]", "_").alias("payload"))
+    documents = pages.select("doc_id", content("doc_id", "payload").alias("content"))
     return pdf_images.candidates(pdf_images.extract_images(documents)).select("doc_id", "image", "width", "height", "channels", F.md5("pixels").alias("pixels_md5"), "pos")

@@ -8,13 +8,13 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import strings
+from larkspur.functions import dates, strings
 from larkspur.operators import letters, mutations, nested, pdf_images, permissions, records, tickets, users
 from larkspur.operators.ordering import with_position
 from larkspur.plans.catalogue import alerts, held_users
 from larkspur.plans.oracles import ALERTS, CLAUSE, ROLES_CTE
 from larkspur.plans.records import HELD_PAIRS
-from larkspur.sources.views import duckdb_ctes, table, view
+from larkspur.sources.views import TODAY, duckdb_ctes, table, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -273,6 +273,25 @@ def ticket_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select(*columns, "pos", F.col("e.id").alias("event_id"), *[time(f"e.{c}").alias(c) if c == "at" else F.col(f"e.{c}") for c in tickets.EVENT_FIELDS])
 
 
+_LATE = "CASE WHEN status NOT IN ('completed', 'cancelled') AND follow_up_date < DATE '2024-01-20' THEN date_diff('day', follow_up_date, DATE '2024-01-20') ELSE 0 END"
+
+
+@query(f"""{duckdb_ctes("tickets")}, t AS (SELECT *, {_LATE} AS n FROM tickets)
+SELECT id, coalesce(day(follow_up_date) || ' ' || ['{"', '".join(dates.MONTHS)}'][month(follow_up_date)] || ' ' || year(follow_up_date), '—') AS day,
+CASE WHEN n > 0 THEN 'متأخرة ' || n || ' ' || CASE WHEN n = 1 THEN 'يوم' WHEN n = 2 THEN 'يومان' WHEN n <= 10 THEN 'أيام' ELSE 'يومًا' END
+  WHEN status NOT IN ('completed', 'cancelled') AND follow_up_date = DATE '2024-01-20' THEN 'متابعة اليوم' ELSE '' END AS badge FROM t""")
+def ticket_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The follow-up dates of all tickets in words, and whether they are overdue or due."""
+    rows = view(spark, sf_dir, "tickets")
+    return rows.select("id", dates.long_date(F.col("follow_up_date")).alias("day"), tickets.due_badge(TODAY).alias("badge"))
+
+
+@query(f"{duckdb_ctes('employees')} SELECT id, eid, row_number() OVER (ORDER BY id) AS pos FROM employees")
+def employees_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Employees by their ids, as they are listed."""
+    return with_position(view(spark, sf_dir, "employees").select("id", "eid"), F.col("id").asc())
+
+
 @query("""SELECT doc_id, md5(regexp_replace(text, '[^0-9]', '', 'g')) AS digits_md5, md5(regexp_replace(text, '[^A-Za-z0-9_.\\-\\x{0600}-\\x{06FF}]', '_', 'g')) AS file_md5,
 md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5, CASE WHEN text != '' THEN '"qr-' || left(sha1(text), 16) || '"' END AS tag FROM documents""")
 def document_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

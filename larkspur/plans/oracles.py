@@ -51,17 +51,23 @@ lines AS (SELECT pos, pos || '. ' || employee_name || ' — ' || type_label || '
 SELECT r.email, '🔔 تنبيه بقرب انتهاء وثيقة موظف' AS subject, 'batch' AS kind, l.pos, CASE WHEN r.ok THEN l.line END AS line, CASE WHEN NOT r.ok THEN 'no template for ' || r.email END AS error
 FROM lines l, (VALUES ('first@example.org', true), ('second@example.org', false)) AS r(email, ok)""",
     "ticket_list": f"{_LIST} SELECT * FROM listed",
-    "ticket_by_employee": f"{_LIST} SELECT * FROM listed WHERE employee_eid = 'E7'",
+    "ticket_by_employee": f"{_LIST} SELECT *, row_number() OVER (ORDER BY id DESC) AS pos FROM listed WHERE employee_eid = 'E7'",
     "ticket_timeline": f"{duckdb_ctes('ticket_events')} SELECT ticket_id, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY id) AS INT) AS pos, kind, body FROM ticket_events",
     "ticket_summary": f"""{duckdb_ctes("tickets")} SELECT count(*) FILTER (status NOT IN ('completed', 'cancelled')) AS open, count(*) FILTER (status = 'awaiting_counterparty') AS awaiting_counterparty,
 count(*) FILTER (status = 'awaiting_us') AS awaiting_us, count(*) FILTER ({_OVERDUE} > 0) AS overdue, count(*) FILTER (status = 'completed' AND strftime(closed_at, '%Y-%m') = '{TODAY[:7]}') AS completed_this_month FROM tickets""",
     "ticket_attention": f"""{duckdb_ctes("tickets")}, r AS (SELECT id, follow_up_date, CAST({_OVERDUE} AS INT) AS overdue, CAST(CASE WHEN {_OVERDUE} > 0 THEN 0 WHEN priority = 'urgent' THEN 1
   WHEN status NOT IN ('completed', 'cancelled') AND follow_up_date = DATE '{TODAY}' THEN 2 ELSE 3 END AS INT) AS rank FROM tickets)
 SELECT id, rank, overdue, row_number() OVER (ORDER BY rank, overdue DESC, coalesce(follow_up_date, DATE '9999-12-31'), id DESC) AS pos FROM r""",
-    "payroll_nested": f"""{duckdb_ctes("ticket_events")} SELECT ticket_id AS run_id, CAST(count(*) OVER (PARTITION BY ticket_id) AS INT) AS n,
+    "payroll_nested": f"""{duckdb_ctes("ticket_events")} SELECT ticket_id AS run_id, dense_rank() OVER (ORDER BY ticket_id DESC) AS place, CAST(count(*) OVER (PARTITION BY ticket_id) AS INT) AS n,
 CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY id) - 1 AS INT) AS pos, kind AS key, body AS note FROM ticket_events""",
     "settings_map": "SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation",
-    "audit_tail": "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(row_number() OVER (ORDER BY events.ts DESC, event_id DESC) AS INT) AS pos FROM events ORDER BY events.ts DESC, event_id DESC LIMIT 200",
+    "audit_tail": """SELECT event_id AS id, event_type AS type, CASE WHEN event_id % 3 != 0 THEN 'u' || user_id || '@example.org' END AS actor_email, 'u' || user_id AS actor_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) END AS target_id, props AS meta,
+strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(row_number() OVER (ORDER BY events.ts DESC, event_id DESC) AS INT) AS pos FROM events ORDER BY events.ts DESC, event_id DESC LIMIT 200""",
+    "pdf_candidates": r"""WITH p AS (SELECT page_id AS doc_id, regexp_replace(left(coalesce(html, ''), 400), '[^A-Za-z0-9<>/.]', '_', 'g') AS payload FROM pages),
+i AS (SELECT doc_id, payload, k, CAST(2 + (doc_id + 3 * k) % 9 AS INT) AS width, CAST(2 + (doc_id * 7 + k) % 9 AS INT) AS height, CASE WHEN (doc_id + k) % 2 = 1 THEN 1 ELSE 3 END AS channels FROM (SELECT *, unnest(range(1 + doc_id % 5)) AS k FROM p)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS image FROM i WHERE k != 3)
+SELECT doc_id, image, width, height, channels, md5(rpad(left(payload, width * height * channels), width * height * channels, '.')) AS pixels_md5,
+CAST(row_number() OVER (PARTITION BY doc_id ORDER BY abs(width / height - 1), width * height, image) AS INT) AS pos FROM r QUALIFY pos <= 8""",
     "doc_types_sorted": "SELECT lower(n_name) AS key, n_name AS label, CAST(row_number() OVER (ORDER BY n_nationkey % 4, lower(n_name)) AS INT) AS pos FROM nation",
     "user_permissions": f"""{_HELD} SELECT h.id, h.role, h.role = 'owner' OR u.perm_mode = 0 AS defaults, CAST(row_number() OVER (PARTITION BY h.id ORDER BY place) - 1 AS INT) AS pos, permission FROM held h JOIN users u ON h.id = u.id""",
     "permission_escalation": f"""{_HELD}, wanted AS (SELECT permission, place FROM catalogue WHERE permission IN ('settings:edit', 'kpi:view', 'users:view')),

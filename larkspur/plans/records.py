@@ -27,15 +27,18 @@ K = records.EMPLOYEE_KEYS
 
 
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Employees with their JSON objects: slash dates, times, missing keys and no object at all."""
+    """Employees with their JSON objects: slash dates, times, numbers of milliseconds, nulls, missing keys and no object at all."""
     k = F.col("id")
     day = F.when(k % 5 == 0, F.date_format("iq_exp", "M/d/yyyy")).when(k % 5 == 1, F.concat(F.col("iq_exp").cast("string"), F.lit("T10:00:00Z"))).when(k % 5 == 2, "soon").otherwise(F.col("iq_exp").cast("string"))
-    entries = F.create_map(F.lit(K["eid"]), "eid", F.lit(K["name"]), "name", F.lit(K["iqama"]), "iqama", F.lit(K["iq_exp"]), day)
-    return view(spark, sf_dir, "employees").select("id", "eid", "iqama", "name", F.when(k % 11 == 0, "no object").otherwise(F.to_json(entries)).alias("data"))
+    entries = F.to_json(F.create_map(F.lit(K["eid"]), "eid", F.lit(K["name"]), "name", F.lit(K["iqama"]), "iqama", F.lit(K["iq_exp"]), day))
+    millis = (F.unix_date("lic_exp").cast("long") * 86_400_000 + 3_600_000).cast("string")
+    licence = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit(f', "{K["lic_exp"]}": '), millis)).when(k % 4 == 2, f', "{K["lic_exp"]}": null').otherwise(F.concat(F.lit(f', "{K["lic_exp"]}": "'), F.col("lic_exp").cast("string"), F.lit('"')))
+    data = F.concat(F.regexp_replace(entries, "}$", ""), licence, F.lit("}"))
+    return view(spark, sf_dir, "employees").select("id", "eid", "iqama", "name", F.when(k % 11 == 0, "no object").otherwise(data).alias("data"))
 
 
 @query(f"""{duckdb_ctes("employees")} SELECT id, CASE WHEN id % 11 != 0 THEN eid END AS eid, CASE WHEN id % 11 != 0 THEN name END AS name, CASE WHEN id % 11 != 0 THEN iqama END AS iqama,
-CASE WHEN id % 11 != 0 AND id % 5 != 2 THEN CAST(iq_exp AS VARCHAR) END AS iq_exp, CAST(NULL AS VARCHAR) AS lic_exp FROM employees""")
+CASE WHEN id % 11 != 0 AND id % 5 != 2 THEN CAST(iq_exp AS VARCHAR) END AS iq_exp, CASE WHEN id % 11 != 0 AND id % 4 IN (1, 3) THEN CAST(lic_exp AS VARCHAR) END AS lic_exp FROM employees""")
 def employee_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Employees' typed records out of their JSON."""
     rows = records.employee_records(_json(spark, sf_dir))

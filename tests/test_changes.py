@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import hijri, letters, mutations, nested, pdf_images, permissions, records, tickets, users
+from larkspur.operators.joins import spread
 from larkspur.plans.changes import MARK, decode_marked, page_document
 
 ALERT = "pos long, employee_name string, type_label string, stage string, remaining_days int, expiry date"
@@ -213,6 +214,32 @@ def test_wanted_permissions_of_any_shape(spark):
     assert got == cases
 
 
+def test_records_take_dates_of_any_kind(spark):
+    k = records.EMPLOYEE_KEYS
+    rows = [(1, {k["iq_exp"]: "2/30/2025", k["lic_exp"]: 1735689599999, k["eid"]: 7}), (2, {k["iq_exp"]: None, k["lic_exp"]: "1735689599999"}), (3, {k["iq_exp"]: {"a": 1}, k["lic_exp"]: True, k["name"]: ["x"]}), (4, [])]
+    frame = spark.createDataFrame([(i, json.dumps(d)) for i, d in rows] + [(5, None), (6, "{")], "id long, data string")
+    got = {r.id: (r.eid, r.name, r.iq_exp, r.lic_exp) for r in records.employee_records(frame).collect()}
+    assert got == {1: ("7", None, date(2025, 3, 2), date(2024, 12, 31)), 2: (None,) * 4, 3: (None, '["x"]', None, None), 4: (None,) * 4, 5: (None,) * 4, 6: (None,) * 4}
+
+
+def test_badges(spark):
+    rows = [("open", date(2024, 1, d)) for d in (19, 18, 10, 9, 20, 21)] + [("completed", date(2024, 1, 1)), ("completed", date(2024, 1, 20)), ("open", None)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, status string, follow_up_date date")
+    got = [r[0] for r in frame.orderBy("id").select(tickets.due_badge("2024-01-20")).collect()]
+    assert got == ["متأخرة 1 يوم", "متأخرة 2 يومان", "متأخرة 10 أيام", "متأخرة 11 يومًا", "متابعة اليوم", "", "", "", ""]
+
+
+def test_rows_without_a_key_do_not_meet(spark):
+    events = spark.range(1000).select("id", F.lit(None).cast("string").alias("key"))
+    keys = events.select(spread(F.col("key"), F.col("id")).alias("s"))
+    assert keys.distinct().count() == 1000 and keys.where("s like 'E%'").count() == 0
+    table = spark.createDataFrame([(1, None, None, "S", "open", None), (2, "", 5, "S", "open", None)], "id long, employee_eid string, assignee_id int, employee_iqama_at_creation string, status string, follow_up_date date")
+    people = spark.createDataFrame([("", "N", "7"), (None, "Nobody", "8")], "eid string, name string, iqama string")
+    accounts = spark.createDataFrame([(5, "A"), (None, "B")], "id int, name string")
+    got = {r.id: (r.employee_name, r.iqama, r.assignee_name) for r in tickets.ticket_list(table, people, accounts).collect()}
+    assert got == {1: (None, "S", None), 2: ("N", "7", "A")}
+
+
 def test_uploads_tags_and_point_reads(spark):
     sizes = spark.range(1).select(F.repeat(F.lit("%PDF-1"), 3_500_000).cast("binary").alias("c"))
     verdict = lambda c, name: users.upload_verdict(c, F.lit("text/plain"), F.lit(name))

@@ -38,4 +38,4 @@ def test_hijri_dates_match_their_sql(spark, con):
 def test_entry_and_registration(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
-    assert set(QUERIES) - set(ORACLES) == {"hijri_dates", "pdf_candidates"}
+    assert set(QUERIES) - set(ORACLES) == {"hijri_dates"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import dates, strings
 from larkspur.operators import expiry, hijri, mutations, nested, pdf_images, permissions, records, tickets, verdicts
 from larkspur.operators.ordering import with_position
-from larkspur.plans.catalogue import synthetic_pdf
+from larkspur.plans.catalogue import text_document
 from larkspur.sources.views import view
 
 DIR = "/root/testdata/sf0.001"
@@ -142,7 +142,7 @@ def test_png_rows_round_trip(channels):
 
 def test_pdf_images(spark):
     bad = b"%PDF-1 1 0 obj << /Subtype /Image /Width 9 /Height 9 /BitsPerComponent 8 /DeviceGray /FlateDecode >> stream\n" + zlib.compress(b"x" * 10) + b"endstream endobj"
-    frame = spark.createDataFrame([(1, synthetic_pdf(5)), (2, b"no pdf"), (3, bad), (4, None), (5, b"%PDF-")], "doc_id long, content binary")
+    frame = spark.createDataFrame([(1, text_document(5, "some text")), (2, b"no pdf"), (3, bad), (4, None), (5, b"%PDF-")], "doc_id long, content binary")
     rows = pdf_images.candidates(pdf_images.extract_images(frame)).collect()
     assert rows and {r.doc_id for r in rows} == {1} and all(len(r.pixels) == r.width * r.height * r.channels for r in rows)
     assert pdf_images.rgba(b"\x01\x02", 1) == b"\x01\x01\x01\xff\x02\x02\x02\xff"
