@@ -52,6 +52,18 @@ def alert_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.unionAll(rejects.select("email", F.lit("reject"), F.lit(None).cast("int"), F.lit(None).cast("long"), "error"))
 
 
+@query(f"""{ALERTS}, {_MORE}, first AS (SELECT * FROM alerts ORDER BY employee_id, sort_order, type_key LIMIT 1)
+SELECT email, 'single' AS kind, employee_name || ' ' || CASE stage WHEN 'overdue' THEN 'منتهية' ELSE 'ستنتهي' END || ' ' || type_label || ' ' || CASE stage WHEN 'overdue' THEN 'منذ ' || abs(remaining_days) || ' يوم' WHEN 'today' THEN 'اليوم' ELSE 'بعد ' || remaining_days || ' أيام' END
+  || chr(10) || day(expiry) || ' ' || ['{"', '".join(dates.MONTHS)}'][month(expiry)] || ' ' || year(expiry) || chr(10) || {CLAUSE} || chr(10) || CASE stage WHEN 'overdue' THEN 'Late, ' || name || '! now' ELSE ' soon' END AS body FROM first, readers""")
+def first_alert_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters about the first alert alone, in full words."""
+    rows = with_position(alerts(spark, sf_dir), F.col("employee_id").asc(), F.col("sort_order").asc(), F.col("type_key").asc()).where("pos = 1")
+    readers = view(spark, sf_dir, "readers")
+    single = F.lit("{employee} {state} {document} {when}\n{expiry}\n{remaining}\n{warning} {haste}")
+    templates = readers.select("email", single.alias("single"), F.lit("{lines}").alias("batch"), F.concat(F.lit("Late, "), "name", F.lit("!")).alias("warning"), F.lit("now").alias("haste_late"), F.lit("soon").alias("haste_ahead"))
+    return letters.alert_letters(rows, readers, templates)[0].select("email", "kind", "body")
+
+
 #: The byte before the text in an image that page_document() draws, and that decode_marked() looks for.
 MARK = b"\x81"
 
@@ -136,6 +148,32 @@ def account_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown("account", after).unionAll(shown("reflected", reflected)).unionAll(missing.select(F.lit("missing"), "id", _text(None), _text(None), _text(None)))
 
 
+@query("""SELECT 'type' AS kind, lower(n_name) AS key, CASE WHEN n_nationkey % 3 = 0 THEN 'New ' || n_name ELSE n_name END AS label, CAST(CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 2 = 0 THEN n_nationkey * 10 ELSE n_regionkey END AS INT) AS sort_order FROM nation
+UNION ALL SELECT 'missing type', 'no ' || lower(n_name), NULL, NULL FROM nation WHERE n_nationkey % 5 = 0
+UNION ALL SELECT 'recipient', lower(r_name) || '@example.org', CASE WHEN r_regionkey % 2 = 0 THEN NULL ELSE r_name END, NULL FROM region""")
+def column_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as document types and regions as recipients, after patches of some of their columns, and keys that are nobody's."""
+    k, none = F.col("n_nationkey"), F.lit(None).cast("int")
+    nation = table(spark, sf_dir, "nation")
+    types = nation.select(F.lower("n_name").alias("key"), F.col("n_name").alias("label"), F.col("n_regionkey").cast("int").alias("sort_order"))
+    given = [(k % 3 == 0).alias("has_label"), F.concat(F.lit("New "), "n_name").alias("new_label"), (k % 2 == 0).alias("has_sort_order"), F.when(k % 4 != 0, k * 10).cast("int").alias("new_sort_order")]
+    patch = nation.select(F.lower("n_name").alias("key"), *given).unionAll(nation.where(k % 5 == 0).select(F.concat(F.lit("no "), F.lower("n_name")), *given))
+    after, missing = mutations.update_columns(types, patch, "key", ["label", "sort_order"])
+    readers = view(spark, sf_dir, "readers").select("email", "name")
+    named, _ = mutations.update_columns(readers, view(spark, sf_dir, "readers").where("id % 2 = 0").select("email", F.lit(True).alias("has_name"), _text(None).alias("new_name")), "email", ["name"])
+    return after.select(F.lit("type").alias("kind"), "key", "label", "sort_order").unionAll(missing.select(F.lit("missing type"), "key", _text(None), none)).unionAll(named.select(F.lit("recipient"), "email", "name", none))
+
+
+@query(f"""{duckdb_ctes("ticket_log")} SELECT ticket_id, id, CASE WHEN id % 3 = 0 THEN 'followup' ELSE 'edited' END AS kind, nullif(left(regexp_replace(body || repeat('x', 3900), '^\s+|\s+$', '', 'g'), 4000), '') AS body,
+nullif(left(coalesce(from_value, '') || repeat('v', 150) || coalesce(to_value, '') || repeat('w', 60), 200), '') AS from_value, NULL AS to_value FROM ticket_log""")
+def event_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they are appended: kinds that aren't known are edits, and long texts are cut."""
+    log, none = view(spark, sf_dir, "ticket_log"), _text("")
+    kind = F.when(F.col("id") % 3 == 0, "followup").otherwise(F.concat(F.lit("by "), "kind"))
+    long_ = F.concat(F.coalesce("from_value", none), F.repeat(F.lit("v"), 150), F.coalesce("to_value", none), F.repeat(F.lit("w"), 60))
+    return log.select("id", *tickets.event(F.col("ticket_id"), kind, F.col("at"), F.concat("body", F.repeat(F.lit("x"), 3900)), long_, F.lit(" "))).drop("at")
+
+
 _AT = "TIMESTAMP '2024-03-01 00:00:00' + to_hours(CAST(j * 5 AS INT))"
 
 
