@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm import shingles as sh
 from larkspur.llm.storage import bounded, cut, named, own_names, plain_names, trimmed
-from larkspur.llm.textkit import NON_ALPHANUMERIC, chunks, find_words, lists
+from larkspur.llm.textkit import NON_ALPHANUMERIC, chunks, find_words
 
 #: Most (item, window) pairs of a block, about. A pair takes its window's text, if no other pair of the block has it, and some 30 bytes.
 BLOCK_WINDOWS = 500_000

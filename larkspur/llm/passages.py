@@ -152,6 +152,16 @@ def _of_several_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(rows.column("chunk").to_numpy()[some]), pa.array(prefix[several][part]), pa.array(count[some]), pa.array(load[several][part] > HEAVY)], names=["chunk", "prefix", "n", "heavy"])
 
 
+def _slices(length: np.ndarray) -> Iterator[slice]:
+    """Consecutive slices of some 4 MB each, of things of these lengths; a longer one is alone."""
+    total, low = np.cumsum(length), 0
+    while low < len(length):
+        before = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, before + (4 << 20), side="right")))
+        yield slice(low, high)
+        low = high
+
+
 _STRETCH = pa.schema([("group", pa.int32()), ("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("text", pa.string())])
 
 
@@ -182,8 +192,7 @@ def _stretches(size: int, groups: int):
         row = np.searchsorted(words.first, begin, side="right") - 1
         edge = np.concatenate(([0], np.cumsum(words.lengths)))
         texts = []
-        for low in range(0, len(first), 20_000):
-            part = slice(low, low + 20_000)
+        for part in _slices(edge[end] - edge[begin] - 1):
             length = edge[end[part]] - edge[begin[part]] - 1
             data = words.data[np.repeat(edge[begin[part]], length) + ranges(length)]
             texts.append(pa.StringArray.from_buffers(len(length), pa.py_buffer(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.py_buffer(data)))
@@ -250,8 +259,7 @@ def _cut_out(size: int):
         edge = np.cumsum(words.lengths) - words.lengths
         total = np.bincount(doc[kept], weights=length, minlength=len(count)).astype(np.int64)
         pieces = []
-        for low in range(0, len(kept), 200_000):
-            part = slice(low, low + 200_000)
+        for part in _slices(length):
             pieces.append(words.data[np.repeat(edge[kept[part]], length[part]) + ranges(length[part])])
         data = np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
         text = pa.LargeStringArray.from_buffers(len(count), pa.py_buffer(np.concatenate(([0], np.cumsum(total))).astype(np.int64)), pa.py_buffer(data)).cast(pa.string())

@@ -80,3 +80,10 @@ def test_deep_nodes_are_those_of_equal_runs():
         for i, k in zip(live.tolist(), node.tolist()):
             found.setdefault(k, []).append(i)
         assert sorted(found.values()) == sorted(g for g in groups.values() if len(g) > 1)
+
+
+def test_slices_hold_all_and_stay_small():
+    for length in ([], [0, 0], [5 << 20], [1, 9 << 20, 3, 3, (4 << 20) - 6, 1], [1 << 20] * 9):
+        parts = list(passages._slices(np.array(length, dtype=np.int64)))
+        assert [i for p in parts for i in range(p.start, p.stop)] == list(range(len(length)))
+        assert all(p.stop - p.start == 1 or sum(length[p]) <= 4 << 20 for p in parts)
