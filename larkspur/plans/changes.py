@@ -164,7 +164,7 @@ def column_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select(F.lit("type").alias("kind"), "key", "label", "sort_order").unionAll(missing.select(F.lit("missing type"), "key", _text(None), none)).unionAll(named.select(F.lit("recipient"), "email", "name", none))
 
 
-@query(f"""{duckdb_ctes("ticket_log")} SELECT ticket_id, id, CASE WHEN id % 3 = 0 THEN 'followup' ELSE 'edited' END AS kind, nullif(left(regexp_replace(body || repeat('x', 3900), '^\s+|\s+$', '', 'g'), 4000), '') AS body,
+@query(f"""{duckdb_ctes("ticket_log")} SELECT ticket_id, id, CASE WHEN id % 3 = 0 THEN 'followup' ELSE 'edited' END AS kind, nullif(left(regexp_replace(body || repeat('x', 3900), '^\\s+|\\s+$', '', 'g'), 4000), '') AS body,
 nullif(left(coalesce(from_value, '') || repeat('v', 150) || coalesce(to_value, '') || repeat('w', 60), 200), '') AS from_value, NULL AS to_value FROM ticket_log""")
 def event_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as they are appended: kinds that aren't known are edits, and long texts are cut."""
