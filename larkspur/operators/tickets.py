@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.dates import is_iso
 from larkspur.functions.strings import clean, one_of, overdue_badge, ticket_number
-from larkspur.operators.joins import spread
+from larkspur.operators.joins import dealt, spread
 from larkspur.operators.mutations import one_per_key
 from larkspur.operators.ordering import with_position
 
@@ -228,6 +228,7 @@ def follow_ups(tickets: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFra
     Notes of one ticket take effect in the order of their times and ids, each upon what those before it left: what a field was before a note is
     the last value given before, or the ticket's own. A note without a time comes first.
     """
+    tickets, notes = dealt((tickets, "id"), (notes, "ticket_id"))
     t = tickets.select(F.col("id").alias("t_id"), F.col("status").alias("t_status"), F.col("follow_up_date").cast("string").alias("t_date"))
     rows = notes.join(t, F.col("ticket_id") == F.col("t_id"), "left")
     given = lambda c: F.coalesce(F.col(f"has_{c}"), F.lit(False))

@@ -7,7 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import hijri, letters, mutations, nested, pdf_images, permissions, records, tickets, users
+from larkspur.operators import hijri, joins, letters, mutations, nested, pdf_images, permissions, records, tickets, users
 from larkspur.operators.joins import spread
 from larkspur.plans.changes import MARK, decode_marked, page_document
 
@@ -257,3 +257,20 @@ def test_patches_of_a_permit_given_twice_are_refused(spark):
     twice = spark.createDataFrame([("p", True, "a", False, None, False, None)] * 2, "permit_no string, has_file boolean, new_file string, has_qr boolean, new_qr string, has_qr_text boolean, new_qr_text string")
     with pytest.raises(Exception, match="several rows of a patch"):
         mutations.permit_update(permits, twice).collect()
+
+
+def _busy(df):
+    """How many tasks return rows of df."""
+    return len({r[0] for r in df.select(F.spark_partition_id()).collect()})
+
+
+def test_follow_ups_meet_in_tasks_of_bounded_size(spark, monkeypatch):
+    ids = spark.range(400)
+    table = ids.select("id", F.lit("open").alias("status"), F.lit(None).cast("date").alias("follow_up_date"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(None).cast("timestamp").alias("last_followup_at"))
+    none = F.lit(None).cast("string")
+    notes = ids.select(F.col("id") + 1000, (F.col("id") % 350).alias("t"), F.lit(_at(3)), F.lit("note"), F.lit(True), F.lit("completed"), F.lit(False), none, none, none, none).toDF(*[c.split()[0] for c in NOTE.split(", ")])
+    want = [sorted(map(str, df.collect())) for df in tickets.follow_ups(table, notes)]
+    monkeypatch.setattr(joins, "TASK_ROWS", 20)
+    after, events, rejects = tickets.follow_ups(table, notes)
+    assert [sorted(map(str, df.collect())) for df in (after, events, rejects)] == want and len(want[0]) == 400
+    assert _busy(after) > 30 and _busy(events) > 30
