@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.strings import clean, is_url
+from larkspur.operators.joins import dealt
 
 
 def one_per_key(patch: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,6 +92,7 @@ def merge_typed_json(base: DataFrame, patch: DataFrame, key: str, column: str) -
     base that is null, or no object, counts as an empty one. The column comes back as JSON text, keys in order, where the patch gives
     anything, and untouched elsewhere. A patch of several rows for a key is refused.
     """
+    base, patch = dealt((base, key), (patch, key))
     given = one_per_key(patch.select(F.col(key).alias("larkspur_key"), F.col(column).alias("larkspur_text")), ["larkspur_key"]).withColumn("larkspur_new", json_object(F.col("larkspur_text")))
     empty = F.create_map().cast("map<string,variant>")
     rows = base.join(given.where("larkspur_new is not null"), F.col(key) == F.col("larkspur_key"), "left")

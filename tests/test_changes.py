@@ -274,3 +274,15 @@ def test_follow_ups_meet_in_tasks_of_bounded_size(spark, monkeypatch):
     after, events, rejects = tickets.follow_ups(table, notes)
     assert [sorted(map(str, df.collect())) for df in (after, events, rejects)] == want and len(want[0]) == 400
     assert _busy(after) > 30 and _busy(events) > 30
+
+
+def test_typed_json_meets_in_tasks_of_bounded_size(spark, monkeypatch):
+    base = spark.range(400).select(F.col("id").alias("k"), F.lit('{"a": 1}').alias("j"))
+    patch = spark.range(100, 500).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, '{"b": 2}').otherwise("[]").alias("j"))
+    want = [sorted(map(str, df.collect())) for df in mutations.merge_typed_json(base, patch, "k", "j")]
+    for bound, value in (("TASK_ROWS", 20), ("TASK_BYTES", 150)):
+        with monkeypatch.context() as m:
+            m.setattr(joins, bound, value)
+            after, rejects = mutations.merge_typed_json(base, patch, "k", "j")
+            assert [sorted(map(str, df.collect())) for df in (after, rejects)] == want and len(want[0]) == 400
+            assert _busy(after) > 30 and _busy(rejects) > 30
