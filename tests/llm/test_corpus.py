@@ -4,12 +4,13 @@ import gzip
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm import decontamination, licenses, line_dedup, near_dedup, packing, quality_model, quality_rules, token_files, tokens, toxicity, warc
+from larkspur.llm import decontamination, licenses, line_dedup, near_dedup, packing, quality_model, quality_rules, queries, token_files, tokens, toxicity, warc
 from larkspur.llm.components import connected_components
 from larkspur.llm.queries import TOKENIZER
 from larkspur.llm.storage import cut
@@ -166,6 +167,24 @@ def test_a_verdict_does_not_depend_on_the_size_of_the_table(spark):
         assert len(got) == n + 1 and all(r.kept and r.class_distance is None for r in got)
 
 
+def test_documents_of_all_languages_are_judged_by_what_the_table_has(spark, tmp_path):
+    russian = ["слово и дело, " * 3 + " ".join("ж" + w.replace("a", "щ") for w in words_of(120, k).split()) for k in range(20)]
+    rows = [(t, "ru") for t in russian] + [(" ".join(f"{k}$$$&&&" for k in range(80)), "ru"), (None, "ru"), ("short", "xx")]
+    rows += [(" ".join(f"{u} the {v} of {u}{v} and {v}{u}" for u, v in zip(words_of(60, k).split(), words_of(60, 50 + k).split())), "en") for k in range(12)] + [(words_of(300, 8), "en"), (words_of(80, 9), None)]
+    want = quality_rules.verdicts_by_hand(rows, quality_rules.CORPUS_SHARE)
+    assert want == [True] * 20 + [False] * 3 + [True] * 12 + [False, True]
+    for times in (1, 3, 10):
+        frame = spark.createDataFrame([(100 * n + k, *r) for n in range(times) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+        folder = f"{tmp_path}/{times}"
+        frame.repartition(3).write.parquet(f"{folder}/documents.parquet")
+        got = {r.doc_id: r.kept for r in queries.op2_quality_rules(spark, folder).collect()}
+        assert got == {100 * n + k: kept for n in range(times) for k, kept in enumerate(want)}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/1/documents.parquet/*.parquet'")
+    sql = con.sql(queries.ORACLES["op2_quality_rules"])
+    assert {r[0]: r[-1] for r in sql.select("doc_id", "kept").fetchall()} == dict(enumerate(want))
+
+
 def test_jensen_shannon(spark):
     frame = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.5, 0.5])], "p array<double>, q array<double>")
     got = [r[0] for r in frame.select(quality_rules.jensen_shannon(F.col("p"), F.col("q"))).collect()]
