@@ -125,6 +125,7 @@ def _changed(old: DataFrame, patch: DataFrame, plain: tuple[str, ...]) -> DataFr
     A field is given if the patch has its column, and, if the patch has a column has_<field> too, where that is true. Rows whose given
     status or priority is unknown are left out.
     """
+    old, patch = dealt((old, "id"), (patch, "id"))
     names = [c for c, _ in TRACKED] + list(plain)
     given = [c for c in names if c in patch.columns]
     flag = lambda c: F.coalesce(F.col(f"has_{c}"), F.lit(False)) if f"has_{c}" in patch.columns else F.lit(True)
@@ -277,6 +278,7 @@ def followed_up(tickets: DataFrame, notes: DataFrame) -> DataFrame:
     A note needs a ticket that exists, a text, and a known status if it gives one: a note that is refused leaves nothing behind. The
     changes that the notes give are those of change_events(), for a patch of the notes that are accepted.
     """
+    tickets, notes = dealt((tickets, "id"), (notes, "ticket_id"))
     t = tickets.select(F.col("id").alias("t_id"))
     rows = notes.join(t, F.col("ticket_id") == F.col("t_id"), "left")
     bad = F.coalesce(F.col("has_status"), F.lit(False)) & ~F.coalesce(F.col("new_status").isin(STATUSES), F.lit(False))

@@ -286,3 +286,14 @@ def test_typed_json_meets_in_tasks_of_bounded_size(spark, monkeypatch):
             after, rejects = mutations.merge_typed_json(base, patch, "k", "j")
             assert [sorted(map(str, df.collect())) for df in (after, rejects)] == want and len(want[0]) == 400
             assert _busy(after) > 30 and _busy(rejects) > 30
+
+
+def test_other_patches_meet_in_tasks_of_bounded_size(spark, monkeypatch):
+    base = spark.range(400).select(F.col("id").alias("k"), F.lit('{"a": 1}').alias("j"))
+    patch = spark.range(100, 500).select(F.col("id").alias("k"), F.lit('{"b": 2}').alias("j"), F.lit(True).alias("has_j"), F.lit("new").alias("new_j"))
+    made = lambda: [mutations.merge_json(base, patch, "k", "j"), *mutations.update_columns(base, patch, "k", ["j"])]
+    want = [sorted(map(str, df.collect())) for df in made()]
+    monkeypatch.setattr(joins, "TASK_ROWS", 20)
+    got = made()
+    assert [sorted(map(str, df.collect())) for df in got] == want and [len(rows) for rows in want] == [400, 400, 100]
+    assert all(_busy(df) > 30 for df in got[:2])
