@@ -185,6 +185,19 @@ def test_documents_of_all_languages_are_judged_by_what_the_table_has(spark, tmp_
     assert {r[0]: r[-1] for r in sql.select("doc_id", "kept").fetchall()} == dict(enumerate(want))
 
 
+def test_each_document_counts_in_the_references_and_no_language_is_judged_by_itself_alone(spark, tmp_path):
+    junk, figures = " ".join(f"{k}$$$&&&" for k in range(80)), lambda k, a, b: " ".join(f"{a} {1000 * k + i} {b} {7000 * k + i}" for i in range(40))
+    rows = [(junk, "xx"), (junk, None), (words_of(80, 9), "yy"), (" ".join(f"ж{k}щ" for k in range(60)), "ru")]
+    rows += [(figures(k, "the", "of"), "en") for k in range(200)] + [(figures(k, "der", "und"), "de") for k in range(5)] + [(junk, "en"), (words_of(300, 8), "en")]
+    want = quality_rules.verdicts_by_hand(rows, profile_weight=quality_rules.PROFILE_WEIGHT)
+    assert want == [False, False, True, False] + [True] * 200 + [False] * 5 + [False, False]
+    spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.kept for r in queries.op2_quality_rules(spark, str(tmp_path)).collect()} == dict(enumerate(want))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r[-1] for r in con.sql(queries.ORACLES["op2_quality_rules"]).select("doc_id", "kept").fetchall()} == dict(enumerate(want))
+
+
 def test_jensen_shannon(spark):
     frame = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.5, 0.5])], "p array<double>, q array<double>")
     got = [r[0] for r in frame.select(quality_rules.jensen_shannon(F.col("p"), F.col("q"))).collect()]
